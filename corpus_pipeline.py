@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import langid, minhash, mixing, packing
+from quern.llm.common import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -30,12 +31,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each near-duplicate group; rows that repeat its id go down to one."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    groups = minhash.near_duplicates(docs)
+    groups = cut(minhash.near_duplicates(docs).select("doc_id", "kept"))
     dropped = groups.where("not kept").select("doc_id").distinct()
-    repeated = groups.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     rest = docs.join(dropped, "doc_id", "left_anti").select(*columns)
+    repeated = groups.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return rest
+    repeated = cut(repeated.select("doc_id"))
     once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
-    return rest.join(repeated.select("doc_id"), "doc_id", "left_anti").select(*columns).unionByName(once)
+    return rest.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(once)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
