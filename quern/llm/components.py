@@ -8,30 +8,32 @@ from pyspark.sql import functions as F
 from quern.llm.common import cut
 
 
+def _settled(pairs: DataFrame) -> bool:
+    """Whether every node has one lower neighbour, which has none itself: then each component is a star."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        pairs.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    by_node = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.max("down").alias("down"))
+    return by_node.where("ups > 1 or (ups = 1 and down = 1)").isEmpty()
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """node, component (its least reachable node) of every node of an edge list of longs; loops and repeats are allowed.
+    """node, component (its least reachable node) of every node of an edge list of longs.
 
-    Each round links every neighbour to the least one around a node; rounds go on until the edges stop changing,
-    which takes a number of rounds logarithmic in the longest path.  Nodes without an edge are not returned.
+    Repeated edges are one, an edge from a node to itself is ignored, and nodes without another edge are not returned.
+    Rounds go on until every component is a star around its least node; their number grows with the logarithm of the
+    longest path.
     """
     x, y = F.col(a), F.col(b)
-    pairs = edges.where(x.isNotNull() & y.isNotNull()).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
-    pairs, before = cut(pairs), None
-    while True:
-        # large star: each neighbour above a node goes to the least neighbour of the node
+    pairs = cut(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
+    while not _settled(pairs):
+        # large star: the neighbours above a node go to the least node around it, itself included
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        kept = pairs.where("u = v")
-        large = large.unionByName(kept).distinct()
-        # small star: each neighbour below a node, and the node, go to the least of them
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: the neighbours below a node, and the node, go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.where("u <> v").distinct().unionByName(kept).distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    out = pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return out.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+        pairs = cut(small.where("u <> v").distinct())
+    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

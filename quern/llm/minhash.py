@@ -2,12 +2,15 @@
 
 One hash of every shingle fills all bins of a sketch (bin: the hash's leading part; value: the least hash in it);
 empty bins borrow from a full one that a universal hash of (bin, attempt) picks, which is optimal densification.
-Bands of bins are bucket keys.  In each bucket one member is the star's centre, and edges run from it to the others,
-so a bucket of m members has m - 1 candidate pairs, never m * m.  Every pair is confirmed on the full shingle sets.
-Members that their centre does not confirm get further centres until no two members of one bucket lie in different
-components untested, so a star loses no link that the buckets hold.
+Bands of bins are bucket keys.  In each bucket the member with the most company is the star's centre, and edges run
+from it to the others, so a bucket of m members has m - 1 candidate pairs, never m * m.  Every pair is confirmed on the
+full shingle sets.
+
+A star alone would lose links between members that their centre doesn't confirm.  They are found through differences:
+for members x, y of centre a, |x ^ y| = |x ^ a| + |y ^ a| - 2 |(x ^ a) & (y ^ a)|, so similar members must share much
+of what sets them apart from the centre.  Prefix filtering on those differences, elements foreign to the centre first,
+yields the remaining candidates, which are confirmed in full too.  No link within a bucket is lost.
 """
-
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -83,7 +86,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = 5) -> DataFr
 
 
 def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, shingles (sorted, distinct)."""
+    """doc_id, shingles (sorted as unsigned, distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,98 +103,104 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; the centre's set travels to each member."""
-    centre = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    member = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(centre, "a")
-        .join(member, "b")
-        .where(100 * common >= percent * (F.size("sa") + F.size("sb") - common))
-        .select("a", "b")
-    )
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with sa and sb: the set of a travels to each b, so a centre's many members don't meet."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def difference_keys(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[bool, int, np.ndarray, np.ndarray]:
+    """Of a centre's set a and a member's set b: linked, |a ^ b|, and the member's prefixes as outer and inner partner.
+
+    Let s = percent / 100.  Sets x, y reach s just if |x ^ y| <= (1 - s) / (1 + s) * (|x| + |y|), which is at most
+    t = (1 - s) / s * |x|, as |y| <= |x| / s.  With dx = |x ^ a| >= dy, the overlap of the differences is at least
+    dx - t from x's side (as dy >= dx - t), and at least dy - t / 2 from y's side with t in terms of |y|.
+    """
+    foreign, missing = np.setdiff1d(b, a, assume_unique=True), np.setdiff1d(a, b, assume_unique=True)
+    d, common = len(foreign) + len(missing), len(b) - len(foreign)
+    linked = 100 * common >= percent * (len(a) + len(foreign))
+    ordered = np.concatenate([np.sort(foreign), np.sort(missing)])
+    t = (100 - percent) / percent * len(b)
+    outer = d - max(1, int(np.ceil(d - t - 1e-9))) + 1
+    inner = d - max(1, int(np.ceil(d - t / 2 - 1e-9))) + 1
+    return linked, d, ordered[: max(0, outer)], ordered[: max(0, inner)]
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return cut(connected(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("c")))
+def _stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, n (size of b's set), linked, d, outer (empty if linked), inner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for sa, sb in zip(batch.column(2), batch.column(3)):
+                x, y = (np.asarray(s.values).view(_U) for s in (sa, sb))
+                linked, d, outer, inner = difference_keys(x, y, percent)
+                rows.append((len(y), linked, d, outer.view(np.int64)[: 0 if linked else None], inner.view(np.int64)))
+            n, linked, d, outer, inner = zip(*rows) if rows else ((),) * 5
+            keys = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()),
+                 pa.array(d, pa.int64()), pa.array(outer, keys), pa.array(inner, keys)],
+                names=["a", "b", "n", "linked", "d", "outer", "inner"],
+            )
+
+    return _with_sets(pairs, sets).select("a", "b", "sa", "sb").mapInArrow(
+        run, "a long, b long, n long, linked boolean, d long, outer array<long>, inner array<long>"
+    )
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, bands: int = 30, rows: int = 6, width: int = 5, pairs_per_member: int = 8
+    docs: DataFrame, percent: int = 85, bands: int = 30, rows: int = 6, width: int = 5
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (columns doc_id and text; others are ignored).
 
     A null or empty text has no shingles: it is its own component and kept.  Rows of one id are one node of the
     graph; a row with a null id takes the component of its text, or null, and is kept only in the latter case.
-    Equal texts share a class, of which only the least id is compared.  With bands=30 and rows=6 a pair at
+    Equal sets share a class, of which only the least id is compared.  With bands=30 and rows=6 a pair at
     similarity 0.85 shares no bucket with a probability of 7e-7.
-
-    pairs_per_member: once the untested pairs that remain are at most this many times the bucket members, they are
-    tested all at once instead of by further stars.  It moves work between two exact ways and drops nothing.
     """
     base = cut(signatures(docs, bands, rows, width))
     some = base.where(F.col("digest").isNotNull())
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    nodes = classes.where(F.col("rep").isNotNull())
-    keyed = nodes.select("rep", "n", F.explode("keys").alias("key"))
+    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    nodes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).where("rep is not null")
+    keyed = nodes.select("rep", F.explode("keys").alias("key")).distinct()
     sizes = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = cut(keyed.join(sizes, "key").distinct())
+    members = cut(keyed.join(sizes, "key"))
     weight = members.groupBy("rep").agg(F.sum("m").alias("w"))
-    members = cut(members.join(weight, "rep").select("key", "rep", "n", "w"))
+    best = F.max(F.struct("w", (-F.col("rep")).alias("o")))
+    centre = members.join(weight, "rep").groupBy("key").agg(best.alias("z")).select("key", (-F.col("z.o")).alias("a"))
+    pairs = cut(members.join(centre, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+
+    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sets = cut(full_sets(texts.join(involved, "doc_id", "left_semi"), width))
+    stars = cut(_stars(pairs, sets, percent))
+
+    loose = stars.where("not linked").select("a", F.col("b").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.explode("outer").alias("e"))
+    mates = stars.select("a", F.col("b").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.explode("inner").alias("e"))
+    # the sizes and the triangle inequality: |x ^ y| >= dx - dy
+    more = loose.join(mates, ["a", "e"]).where(
+        f"x <> y and (dx > dy or (dx = dy and x > y)) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
+        f" and (100 + {percent}) * (dx - dy) <= (100 - {percent}) * (nx + ny)"
+    )
+    more = more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    common = F.size(F.array_intersect("sa", "sb"))
+    confirmed = _with_sets(more, sets).where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    reps = some.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
+    reps = some.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep")
     # an id whose rows have different texts joins their classes
     twice = (
-        reps.where(F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
+        reps.where(F.col("doc_id").isNotNull()).distinct().groupBy("doc_id")
         .agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.collect_set("rep").alias("all"))
-        .where("a <> z")
-        .select("a", F.explode("all").alias("b"))
-        .where("a <> b")
+        .where("a <> z").select("a", F.explode("all").alias("b")).where("a <> b")
     )
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = full_sets(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(involved, "doc_id", "left_semi"), width)
-
-    ratio = f"100 * least(n, cn) >= {percent} * greatest(n, cn)"
-    links = cut(twice)
-    labels = _labels(links)
-    spent = docs.sparkSession.createDataFrame([], "key long, rep long, spent boolean")
-    while True:
-        state = (
-            members.join(labels, "rep", "left")
-            .join(spent, ["key", "rep"], "left")
-            .withColumn("c", F.coalesce("c", "rep"))
-            .withColumn("open", F.col("spent").isNull().cast("long"))
-        )
-        # of a bucket's pairs, those whose ends are both unspent and in different components are untested
-        mixed = (
-            state.groupBy("key", "c").agg(F.sum("open").alias("k")).groupBy("key")
-            .agg(F.sum("k").alias("u"), F.sum(F.col("k") * F.col("k")).alias("uu")).where("u * u > uu")
-        )
-        fresh = cut(state.where("open = 1").join(mixed, "key").select("key", "rep", "n", "w", "c", "u", "uu"))
-        left = fresh.groupBy("key").agg(F.max(F.expr("(u * u - uu) / 2")).alias("p"), F.count("*").alias("u")).agg(F.sum("p").alias("p"), F.sum("u").alias("u")).first()
-        if not left["u"]:
-            break
-        last = left["p"] <= pairs_per_member * left["u"]
-        if last:
-            centre = fresh.select("key", F.col("rep").alias("a"), F.col("n").alias("cn"), F.col("c").alias("cc"))
-            pairs = fresh.join(centre, "key").where(f"c <> cc and a < rep and {ratio}")
-        else:
-            centre = fresh.groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("o"), "n", "c")).alias("z"))
-            centre = cut(centre.select("key", (-F.col("z.o")).alias("a"), F.col("z.n").alias("cn"), F.col("z.c").alias("cc")))
-            pairs = fresh.join(centre, "key").where(f"c <> cc and a <> rep and {ratio}")
-            spent = cut(spent.unionByName(centre.select("key", F.col("a").alias("rep"), F.lit(True).alias("spent"))))
-        pairs = pairs.select("a", F.col("rep").alias("b")).distinct()
-        links = cut(links.unionByName(_confirmed(pairs, sets, percent)))
-        labels = _labels(links)
-        if last:
-            break
-
-    label = classes.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("c", "rep").alias("c"))
+    links = stars.where("linked").select("a", "b").unionByName(confirmed).unionByName(twice)
+    labels = connected(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("c"))
+    label = classes.join(labels, "rep", "left").select("digest", F.coalesce("c", "rep").alias("c"))
     out = base.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
     component = F.coalesce("c", "doc_id")
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True) & component.isNull()).alias("kept"),
+        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
     )
