@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, fingerprints, langid, licenses, mixing, packing
+from quern.llm import chat, fingerprints, htmltext, langid, licenses, mixing, packing
 from quern.llm.common import crc_mod, documents
 from quern.llm.minhash import near_duplicates
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(documents(spark, sf_dir, "pages"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
