@@ -156,8 +156,12 @@ def training_sample(docs: DataFrame, docs_per_language: int = 300, words_per_lan
     """
     labelled = docs.where("doc_id is not null and lang is not null and text is not null")
     place = (F.xxhash64("doc_id").cast("double") / 2.0**64) + 0.5
-    share = labelled.groupBy("lang").agg((F.lit(2.0 * docs_per_language) / F.count("*")).alias("share"))
-    near = labelled.join(share, "lang").where(place < F.greatest("share", F.lit(0.0)))
+    # one number per language comes to the driver; as literals they are applied in the scan, before any shuffle
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, 2.0 * docs_per_language / n)])
+    near = labelled.where(place < share[F.col("lang")])
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")))
     sample = ranked.where(F.col("r") <= docs_per_language)
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
