@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, fingerprints, htmltext, langid, licenses, mixing, packing
+from quern.llm import chat, fingerprints, htmltext, langid, langmodel, licenses, mixing, packing
 from quern.llm.common import crc_mod, documents
 from quern.llm.minhash import near_duplicates
 
@@ -20,6 +20,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.score(documents(spark, sf_dir), langmodel.trainable(F.col("doc_id")))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
