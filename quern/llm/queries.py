@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, fingerprints, htmltext, langid, langmodel, licenses, mixing, packing
+from quern.llm import chat, fingerprints, htmltext, langid, langmodel, licenses, media, mixing, packing
 from quern.llm.common import crc_mod, documents
 from quern.llm.minhash import near_duplicates
 
@@ -61,6 +61,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.inspected(media.encoded(documents(spark, sf_dir)))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edits(documents(spark, sf_dir))
 
