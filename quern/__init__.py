@@ -1,0 +1 @@
+"""Crawl, extract, chunk, index and search text corpora with Spark."""
