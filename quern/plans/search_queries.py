@@ -174,7 +174,7 @@ def search_response(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_CORPUS}, {_VECTORS}, {_DENSE} SELECT qid, id, (rank + 1)::INTEGER AS shown_rank, printf('%.1f%%', round(round(exact, 4) * 100, 1)) AS percent,
+    f"""WITH {_CORPUS}, {_VECTORS}, {_DENSE} SELECT qid, id, (rank + 1)::INTEGER AS shown_rank, printf('%.1f%%', round((round(exact, 4) * 100)::VARCHAR::DECIMAL(20, 15), 1)::DOUBLE) AS percent,
     CASE WHEN round(exact, 4) >= 0.8::DOUBLE THEN 'high' WHEN round(exact, 4) >= 0.65::DOUBLE THEN 'good' WHEN round(exact, 4) >= 0.5::DOUBLE THEN 'fair' ELSE 'low' END AS band FROM near WHERE exact >= 0"""
 )
 def result_card(spark, sf_dir):

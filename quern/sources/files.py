@@ -10,7 +10,6 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quern.functions.text import strip
 
@@ -57,22 +56,21 @@ def docx_parts(content: bytes | None) -> tuple[list[str], list[str]] | None:
         return None
 
 
-_PARTS = StructType([StructField("body", ArrayType(StringType())), StructField("marginal", ArrayType(StringType()))])
-
+def docx_text(content: Column, strip_margins: bool = True) -> Column:
+    """Paragraphs joined by blank lines, without those that a header or footer also has; null for a broken file."""
 
-@F.pandas_udf(_PARTS)
-def _docx(content: pd.Series) -> pd.DataFrame:
-    found = [docx_parts(c) for c in content]
-    return pd.DataFrame({"body": [f and f[0] for f in found], "marginal": [f and f[1] for f in found]})
+    @F.pandas_udf("string")
+    def run(contents: pd.Series) -> pd.Series:
+        def one(raw: bytes | None) -> str | None:
+            parts = docx_parts(raw)
+            if parts is None:
+                return None
+            drop = set(parts[1]) if strip_margins else set()
+            return "\n\n".join(p for p in parts[0] if p not in drop)
 
+        return contents.map(one)
 
-def docx_text(content: Column, strip_margins: bool = True) -> Column:
-    """Paragraphs joined by blank lines, without those that a header or footer also has; null for a broken file."""
-    parts = _docx(content)
-    body = parts["body"]
-    if strip_margins:
-        body = F.filter(body, lambda p: ~F.array_contains(parts["marginal"], p))
-    return F.array_join(body, "\n\n")
+    return run(content)
 
 
 def load(files: DataFrame, pdf: Callable[[Column], Column] | None = None) -> DataFrame:
