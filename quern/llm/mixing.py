@@ -17,9 +17,6 @@ from quern.llm.common import WORD, cut
 #: Bits of the hash: two histogram levels of BUCKET_BITS, then the rest of the boundary bucket.
 HASH_BITS, BUCKET_BITS = 62, 12
 
-_KEYS = "skey string, spent long, cuts array<struct<most:long,theta:long>>"
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD + "+")), F.lit(0)).cast("long")  # possessive: no backtracking
 
@@ -87,10 +84,11 @@ def plan(
     sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
     close: float = 0.0005, rounds: int = 8,
 ) -> DataFrame:
-    """One row per source: skey, source_size, target, whole (epochs taken in full), cuts (nested thresholds).
+    """One row per source: skey, source_size, target, whole (epochs taken in full), cuts and again (nested thresholds).
 
     sized: skey, size, place.  Thresholds are added until every source lies within `close` of its target or no
-    document behind them fits what is left; `rounds` only bounds the effort on the last fractions of a document.
+    document behind them fits what is left (cuts); then, in an unfinished first epoch, small documents are taken a
+    second time (again).  `rounds` only bounds the effort on the last fractions of a document.
     """
     state = targets(sized, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(F.lit(0)).cast("long")
@@ -98,40 +96,42 @@ def plan(
         "left", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long")
     )
     none = F.array().cast("array<struct<most:bigint,theta:bigint>>")
-    state = cut(state.withColumn("cuts", none))
-    for turn in range(rounds):
-        open_ = state.where(f"left > 0 and left > {close} * target").select("skey", F.col("left").alias("budget"), "cuts")
-        offered = sized.where("size > 0").join(open_, "skey")
-        offered = offered.where(~_inside(F.col("size"), F.col("place"), F.col("cuts")))
-        if turn:
-            offered = offered.where("size <= budget")
-        found = _threshold(offered.select("skey", "size", "place", "budget"))
-        limit = F.lit((1 << 62) - 1) if not turn else F.col("left")
-        grown = state.join(found, "skey", "left").withColumn(
-            "new", F.when(F.col("theta").isNotNull(), F.array(F.struct(limit.cast("long").alias("most"), "theta"))).otherwise(none)
-        )
-        # what the new threshold takes comes off what is left
-        took = offered.join(found, "skey").where("place < theta").groupBy("skey").agg(F.sum("size").alias("took"))
-        grown = grown.withColumn("cuts", F.concat("cuts", "new")).join(took, "skey", "left")
-        before = state
-        state = cut(grown.select("skey", "source_size", "target", "whole", (F.col("left") - F.coalesce("took", F.lit(0))).alias("left"), "cuts"))
-        moved = state.join(before.select("skey", F.col("left").alias("was")), "skey").agg(
-            F.sum(F.col("was") - F.col("left")).alias("n"),
-            F.sum((F.col("left") > F.lit(close) * F.col("target")).cast("long")).alias("open"),
-        ).first()
-        if not moved["n"] or not moved["open"]:
-            break
-    return state.select("skey", "source_size", "target", "whole", "cuts")
+    state = cut(state.withColumns({"cuts": none, "again": none}))
+    size, place = F.col("size"), F.col("place")
+    for kind in ("cuts", "again"):
+        for turn in range(rounds):
+            open_ = state.where(f"left > 0 and left > {close} * target")
+            offered = sized.where("size > 0").join(open_.select("skey", F.col("left").alias("budget"), "whole", "cuts", "again"), "skey")
+            taken = _inside(size, place, F.col("cuts"))
+            if kind == "cuts":
+                offered = offered.where(~taken)
+            else:  # nothing new fits: a second time for what an unfinished first epoch took
+                offered = offered.where(taken & (F.col("whole") == 0) & ~_inside(size, place, F.col("again")))
+            if turn or kind == "again":
+                offered = offered.where("size <= budget")
+            found = _threshold(offered.select("skey", "size", "place", "budget"))
+            limit = F.lit((1 << 62) - 1) if kind == "cuts" and not turn else F.col("left")
+            new = F.when(F.col("theta").isNotNull(), F.array(F.struct(limit.cast("long").alias("most"), "theta"))).otherwise(none)
+            # what the new threshold takes comes off what is left
+            took = offered.join(found, "skey").where("place < theta").groupBy("skey").agg(F.sum("size").alias("took"))
+            grown = state.join(found, "skey", "left").join(took, "skey", "left").withColumn(kind, F.concat(kind, new))
+            grown = grown.withColumn("took", F.coalesce("took", F.lit(0))).withColumn("left", F.col("left") - F.col("took"))
+            state = cut(grown.select("skey", "source_size", "target", "whole", "left", "cuts", "again", "took"))
+            moved = state.agg(F.sum("took").alias("n"), F.count_if(F.col("left") > F.lit(close) * F.col("target")).alias("open")).first()
+            state = state.drop("took")
+            if not moved["open"]:
+                return state
+            if not moved["n"]:
+                break
+    return state
 
 
 def copies(sized: DataFrame, plan_: DataFrame) -> DataFrame:
-    """sized with source_size, target and copies (how often the mix takes the row) added."""
-    inside = _inside(F.col("size"), F.col("place"), F.col("cuts")).cast("long")
-    return (
-        sized.join(plan_, "skey")
-        .withColumn("copies", F.least(F.col("whole") + inside, F.lit(2).cast("long")))
-        .drop("whole", "cuts")
-    )
+    """sized with source_size, target and copies (how often the mix takes the row, at most twice) added."""
+    once = _inside(F.col("size"), F.col("place"), F.col("cuts"))
+    twice = once & (F.col("whole") == 0) & _inside(F.col("size"), F.col("place"), F.col("again"))
+    joined = sized.join(plan_.drop("left"), "skey")
+    return joined.withColumn("copies", F.least(F.col("whole") + once.cast("long") + twice.cast("long"), F.lit(2).cast("long"))).drop("whole", "cuts", "again")
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
