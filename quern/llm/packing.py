@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_batches
+from quern.llm.common import arrow_batches, text_slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -36,42 +36,55 @@ class WordTokenizer:
     """Ids of texts by a tokenizer's file, word by word with a bounded cache.
 
     White space always separates tokens of this tokenizer and each piece is encoded by itself, so the ids of a text are
-    those of its words.  Texts with characters for which Python's and the library's rules might differ, or with a
-    special token's string, take the library's own way as a whole.
+    those of its words.  Pieces that the cache lacks are encoded together, as one text with blanks between them.  Texts
+    with characters for which Python's and the library's rules might differ, or with a special token's string, take
+    the library's own way as a whole.
     """
 
-    def __init__(self, definition: str, cached_words: int = 600_000) -> None:
+    def __init__(self, definition: str, cached_words: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.pieces = cached_words, {}
-        self.words = _Words(self)
-
-    def piece(self, text: str) -> bytes:
-        ids = self.pieces.get(text)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            if len(self.pieces) >= self.most:
-                self.pieces.clear()
-            self.pieces[text] = ids
-        return ids
-
-    def ids(self, text: str) -> np.ndarray:
-        if "<|" in text or (not text.isascii() and _ODD.search(text)) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        self.most = cached_words
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, pieces: list[str], together: int = 2000) -> None:
+        for k in range(0, len(pieces), together):
+            part = pieces[k : k + together]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, owner = np.array(found.ids, dtype="<u4"), np.array(found.word_ids, dtype=np.int64)
+            bounds = np.searchsorted(owner, np.arange(len(part) + 1))
+            if len(owner) and (owner[-1] != len(part) - 1 or (np.diff(owner) < 0).any() or not np.diff(bounds).all()):
+                self.pieces.update((p, self._encoded(p).tobytes()) for p in part)
+                continue
+            raw = ids.tobytes()
+            self.pieces.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(part, bounds[:-1].tolist(), bounds[1:].tolist()))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = []
+        split: list[list[str]] = []
+        for text in texts:
+            odd = "<|" in text or (not text.isascii() and _ODD.search(text)) or any(c in text for c in "\x1c\x1d\x1e\x1f")
+            out.append(self._encoded(text) if odd else None)
+            split.append([] if odd else text.lower().split())
         if len(self.words) > self.most:
-            self.words = _Words(self)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), dtype="<u4")
-
-
-class _Words(dict):
-    def __init__(self, owner: WordTokenizer) -> None:
-        self.owner = owner
-
-    def __missing__(self, word: str) -> bytes:
-        self[word] = ids = b"".join(map(self.owner.piece, _PIECES.findall(word)))
-        return ids
+            self.words.clear()
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        found = [list(map(self.words.get, w)) for w in split]
+        new = {w for f, all_ in zip(found, split) if None in f for w, ids in zip(all_, f) if ids is None}
+        parts = {w: _PIECES.findall(w) for w in new}
+        self._learn(list({p for some in parts.values() for p in some if p not in self.pieces}))
+        piece = self.pieces.__getitem__
+        self.words.update((w, b"".join(map(piece, p))) for w, p in parts.items())
+        word = self.words.__getitem__
+        joined = (b"".join(map(word, w) if None in f else f) for f, w in zip(found, split))
+        return [np.frombuffer(j, dtype="<u4") if o is None else o for o, j in zip(out, joined)]
 
 
 def differenced(lengths: list[int], windows: int) -> list[list[int]]:
@@ -232,8 +245,11 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(doc, np.concatenate([tokenizer.ids(text.as_py() or ""), end]))
+            docs_of, at = batch.column(0).to_pylist(), 0
+            for _, raw in text_slices(batch.column(1)):
+                for ids in tokenizer.ids([r.decode() for r in raw]):
+                    packer.add(docs_of[at], np.concatenate([ids, end]))
+                    at += 1
             if rows := packer.rows():
                 yield batch_of(rows)
         packer.finish()
