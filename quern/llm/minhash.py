@@ -177,12 +177,14 @@ def near_duplicates(
     sets = cut(full_sets(texts.join(involved, "doc_id", "left_semi"), width))
     stars = cut(_stars(pairs, sets, percent))
 
-    loose = stars.where("not linked").select("a", F.col("b").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.explode("outer").alias("e"))
-    mates = stars.select("a", F.col("b").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.explode("inner").alias("e"))
-    # the sizes and the triangle inequality: |x ^ y| >= dx - dy
+    loose = stars.where("not linked").select("a", F.col("b").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.posexplode("outer").alias("i", "e"))
+    mates = stars.select("a", F.col("b").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.posexplode("inner").alias("j", "e"))
+    # the sizes, the triangle inequality |x ^ y| >= dx - dy, and positions: behind the first element in common at i and j
+    # there are no more than min(dx - i, dy - j), of which the overlap needs half of dx + dy - |x ^ y|
     more = loose.join(mates, ["a", "e"]).where(
         f"x <> y and (dx > dy or (dx = dy and x > y)) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
         f" and (100 + {percent}) * (dx - dy) <= (100 - {percent}) * (nx + ny)"
+        f" and 2 * {100 + percent} * least(dx - i, dy - j) >= {100 + percent} * (dx + dy) - {100 - percent} * (nx + ny)"
     )
     more = more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     common = F.size(F.array_intersect("sa", "sb"))
