@@ -73,6 +73,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP2 = f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') ELSE array_to_string(w, ' ') END AS s
+  FROM words, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN sizes p ON p.doc_id = a.doc_id
+  JOIN sizes q ON q.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, min(other) = doc_id AS kept
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
+
+
+def _op6() -> str:
+    postings, facts = [], []
+    for t, template in enumerate(licenses.BASE + licenses.KNOWN):
+        first, last = template.key
+        used = [(p, w, first <= p <= last) for p, w in enumerate(template.words) if first <= p <= last or len(w) > 3]
+        postings += [f"({t}, '{w}', {p}, {int(key)})" for p, w, key in used]
+        facts.append(f"({t}, '{template.label}', {len(used)}, {last - first + 1}, {str(template.base).lower()})")
+    return f"""WITH postings(t, w, pos, key) AS (VALUES {', '.join(postings)}), facts(t, label, whole, keys, base) AS (VALUES {', '.join(facts)}),
+words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+hits AS (SELECT doc_id, i - 1 AS i, ws[i] AS w FROM words, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
+stands AS (SELECT doc_id, t, i - pos AS start, count(*) AS n, sum(key) AS k FROM hits JOIN postings USING (w) GROUP BY ALL),
+places AS (SELECT * FROM stands JOIN facts USING (t) WHERE start >= 0 AND k = keys AND n >= 0.6::DOUBLE * whole AND (NOT base OR n = whole)),
+found AS (SELECT doc_id, count_if(base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+  max(n::DOUBLE / whole) AS score FROM places GROUP BY 1)
+SELECT doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM words LEFT JOIN found USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {"op2_minhash_near_dedup": _OP2, "op6_license_scan": _op6()}
