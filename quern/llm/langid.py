@@ -79,54 +79,99 @@ class SuffixAutomaton:
             at = to
         return [*out, n] if n else out
 
+    def linked(self) -> dict:
+        """The start state as a dictionary from symbols to states of the same kind: the quickest form to walk."""
+        states: list[dict] = [{} for _ in self.next]
+        for state, edges in zip(states, self.next):
+            state.update((symbol, states[to]) for symbol, to in edges.items())
+        return states[0]
+
+
+def phrase_count(start: dict, string: str) -> int:
+    """How many phrases match_lengths() finds, on a linked automaton."""
+    at, n = start, 0
+    for symbol in string:
+        to = at.get(symbol)
+        if to is None:
+            if at is not start:
+                n += 1
+                to = start.get(symbol)
+            if to is None:
+                n += 1
+                to = start
+        at = to
+    return n + (at is not start)
+
 
 class CrossParser:
     """Phrase counts of words in all languages of a model {language: sample words}."""
 
-    def __init__(self, model: dict[str, list[str]], cached_words: int = 400_000) -> None:
+    def __init__(self, model: dict[str, list[str]], cached_tokens: int = 800_000) -> None:
         self.languages = sorted(model)
-        self.automata = []
+        automata = []
         for name in self.languages:
             automaton = SuffixAutomaton()
             for word in model[name]:
                 automaton.add(f" {word} ")
-            self.automata.append(automaton)
-        self.bits = np.array([math.log2(max(2, a.size)) for a in self.automata])
-        self.most, self.rows, self.known = cached_words, [], _Rows(self)
+            automata.append(automaton)
+        self.bits = np.array([math.log2(max(2, a.size)) for a in automata])
+        self.starts = [a.linked() for a in automata]
+        self.most = cached_tokens
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty cache.  A row has a word's letters and its phrases in each language; row 0 is for tokens without letters."""
+        self.table = np.zeros((1024, 1 + len(self.languages)), dtype=np.int64)
+        self.fresh: list[list[int]] = [[0] * (1 + len(self.languages))]
+        self.done = 0
+        self.words: dict[str, int] = {}
+        self.tokens = _Rows(self)
+
+    def _add(self, counts: list[int]) -> int:
+        self.fresh.append(counts)
+        return self.done + len(self.fresh) - 1
+
+    def _word(self, word: str) -> int:
+        row = self.words.get(word)
+        if row is None:
+            marked = f" {word} "
+            row = self.words[word] = self._add([len(word), *(phrase_count(start, marked) for start in self.starts)])
+        return row
 
     def row(self, token: str) -> int:
-        """The cache row of a white-space token: its letters, then its phrases in each language."""
+        """The cache row of a white-space token."""
         parts = _LETTERS.findall(token.lower())
-        counts = [sum(map(len, parts))]
-        for automaton in self.automata:
-            counts.append(sum(len(automaton.match_lengths(f" {p} ")) for p in parts))
-        self.rows.append(counts)
-        return len(self.rows) - 1
+        if len(parts) == 1:
+            return self._word(parts[0])
+        rows = [self._word(p) for p in parts]
+        if not rows:
+            return 0
+        self._settle()
+        return self._add(self.table[rows].sum(axis=0).tolist())
+
+    def _settle(self) -> None:
+        """Move fresh rows into the table."""
+        total = self.done + len(self.fresh)
+        if total > len(self.table):
+            grown = np.zeros((2 * total, self.table.shape[1]), dtype=np.int64)
+            grown[: self.done] = self.table[: self.done]
+            self.table = grown
+        if self.fresh:
+            self.table[self.done : total] = self.fresh
+            self.done, self.fresh = total, []
 
     def costs(self, tokens: list[str]) -> tuple[int, np.ndarray]:
         """Letters of a text, and its cost in every language."""
         total = np.zeros(1 + len(self.languages), dtype=np.int64)
         for i in range(0, len(tokens), 100_000):
-            if len(self.rows) > self.most:
-                self.rows, self.known = [], _Rows(self)
+            if len(self.tokens) > self.most:
+                self._forget()
             part = tokens[i : i + 100_000]
-            index = np.fromiter(map(self.known.__getitem__, part), dtype=np.int64, count=len(part))
-            total += self.table()[index].sum(axis=0)
+            index = np.fromiter(map(self.tokens.__getitem__, part), dtype=np.int64, count=len(part))
+            self._settle()
+            total += self.table[index].sum(axis=0)
         return int(total[0]), total[1:] * self.bits / max(1, int(total[0]))
 
-    def table(self) -> np.ndarray:
-        if self.known.table is None or len(self.known.table) < len(self.rows):
-            done = 0 if self.known.table is None else self.known.done
-            if self.known.table is None or len(self.rows) > len(self.known.table):
-                grown = np.zeros((max(1024, 2 * len(self.rows)), 1 + len(self.languages)), dtype=np.int64)
-                if done:
-                    grown[:done] = self.known.table[:done]
-                self.known.table = grown
-        if self.known.done < len(self.rows):
-            self.known.table[self.known.done : len(self.rows)] = self.rows[self.known.done :]
-            self.known.done = len(self.rows)
-        return self.known.table
-
     def predict(self, text: str | None) -> tuple[str, float]:
         letters, cost = self.costs((text or "").split())
         if not letters or not self.languages:
@@ -138,10 +183,10 @@ class CrossParser:
 
 
 class _Rows(dict):
-    """Token to cache row, filled on first use; with it the rows as an array."""
+    """Token to cache row, filled on first use."""
 
     def __init__(self, parser: CrossParser) -> None:
-        self.parser, self.table, self.done = parser, None, 0
+        self.parser = parser
 
     def __missing__(self, token: str) -> int:
         self[token] = row = self.parser.row(token)
@@ -176,6 +221,14 @@ def training_sample(docs: DataFrame, docs_per_language: int = 300, words_per_lan
 _parsers: dict[str, CrossParser] = {}
 
 
+def worker_parser(key: str, model: dict[str, list[str]]) -> CrossParser:
+    """The worker's parser of a model; a module's function is pickled by reference, so tasks of a worker share it."""
+    if key not in _parsers:
+        _parsers.clear()
+        _parsers[key] = CrossParser(model)
+    return _parsers[key]
+
+
 def identify(docs: DataFrame, model: dict[str, list[str]]) -> DataFrame:
     """docs with lang_pred and score added (in place of columns so named); of the columns only text is read.
 
@@ -183,15 +236,13 @@ def identify(docs: DataFrame, model: dict[str, list[str]]) -> DataFrame:
     best cost lies below the second, as a share of the second: 0 for a tie, 1 with a single language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = f"{shared.id if hasattr(shared, 'id') else id(shared)}-{hash(tuple((k, *v) for k, v in sorted(model.items())))}"
+    key = str(hash(tuple((k, *v) for k, v in sorted(model.items()))))
 
     @F.pandas_udf("lang_pred string, score double")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = CrossParser(shared.value)
+        parser = worker_parser(key, shared.value)
         for texts in batches:
-            yield pd.DataFrame([_parsers[key].predict(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([parser.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     arrow_batches(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score", "quern_parse")]

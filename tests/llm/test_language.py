@@ -25,6 +25,7 @@ def test_automaton_gives_longest_matches(words, text):
         want.append(n)
         at += n
     assert automaton.match_lengths(text) == want
+    assert langid.phrase_count(automaton.linked(), text) == len(want)
 
 
 def test_held_out_accuracy(spark, docs):
