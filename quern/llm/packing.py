@@ -220,6 +220,13 @@ class Packer:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+def worker_tokenizer(path: str, definition: str) -> WordTokenizer:
+    """The worker's tokenizer; a module's function is pickled by reference, so tasks of a worker share it and its cache."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(definition)
+    return _tokenizers[path]
+
+
 def pack(
     docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, pool: int = 128, set_aside: float = 0.06
 ) -> DataFrame:
@@ -233,9 +240,7 @@ def pack(
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _tokenizers:
-            _tokenizers[tokenizer_path] = WordTokenizer(shared.value)
-        tokenizer = _tokenizers[tokenizer_path]
+        tokenizer = worker_tokenizer(tokenizer_path, shared.value)
         packer = Packer(capacity, pool, set_aside, TaskContext.get().partitionId() << SEQUENCE_BITS)
         end = np.array([end_id], dtype="<u4")
         types = [pa.int64()] * 7
