@@ -57,11 +57,11 @@ def _inside(size: Column, place: Column, cuts: Column) -> Column:
 
 
 def _threshold(offered: DataFrame) -> DataFrame:
-    """skey, theta: the largest threshold whose documents (skey, size, place, budget) fit the budget.
+    """skey, theta, took: the largest threshold whose documents (skey, size, place, budget) fit the budget, and their sizes.
 
-    Null if even the first hash doesn't fit; 2**HASH_BITS if all do.
+    theta is 2**HASH_BITS if all do.
     """
-    base, state = offered.withColumn("below", F.lit(0).cast("long")), None
+    base = offered.withColumn("below", F.lit(0).cast("long"))
     for level in (1, 2):
         shift = HASH_BITS - level * BUCKET_BITS
         bucket = F.shiftright("place", shift)
@@ -71,24 +71,28 @@ def _threshold(offered: DataFrame) -> DataFrame:
         run = F.col("below") + F.sum("n").over(Window.partitionBy("skey").orderBy("bucket"))
         over = sums.withColumn("run", run).where("run > budget")
         edge = over.groupBy("skey").agg(F.min("bucket").alias("bucket"), F.min_by(F.col("run") - F.col("n"), "bucket").alias("below"))
-        state = edge if state is None else state
         base = base.drop("below").withColumn("bucket", bucket).join(edge, ["skey", "bucket"]).drop("bucket")
+    # in the last bucket hashes are few; equal ones share a running sum and so are in or out together
     run = F.col("below") + F.sum("size").over(Window.partitionBy("skey").orderBy("place"))
-    theta = base.withColumn("run", run).where("run > budget").groupBy("skey").agg(F.min("place").alias("theta"))
-    return offered.groupBy("skey").agg(F.first("budget").alias("budget")).join(theta, "skey", "left").select(
-        "skey", F.coalesce("theta", F.lit(1 << HASH_BITS)).alias("theta")
+    edge = base.withColumn("run", run).groupBy("skey").agg(
+        F.min(F.when(F.col("run") > F.col("budget"), F.col("place"))).alias("theta"),
+        F.coalesce(F.max(F.when(F.col("run") <= F.col("budget"), F.col("run"))), F.first("below")).alias("took"),
+    )
+    return offered.groupBy("skey").agg(F.sum("size").alias("all")).join(edge, "skey", "left").select(
+        "skey", F.coalesce("theta", F.lit(1 << HASH_BITS)).alias("theta"), F.coalesce("took", "all").alias("took")
     )
 
 
 def plan(
     sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
-    close: float = 0.0005, rounds: int = 8,
+    close: float = 0.0005, rounds: tuple[int, int] = (4, 2),
 ) -> DataFrame:
     """One row per source: skey, source_size, target, whole (epochs taken in full), cuts and again (nested thresholds).
 
     sized: skey, size, place.  Thresholds are added until every source lies within `close` of its target or no
     document behind them fits what is left (cuts); then, in an unfinished first epoch, small documents are taken a
-    second time (again).  `rounds` only bounds the effort on the last fractions of a document.
+    second time (again).  `rounds` bounds the effort on the last fractions of a document: on large sources the first
+    threshold is close enough, the rest is for tables of a few documents a source.
     """
     state = targets(sized, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(F.lit(0)).cast("long")
@@ -98,8 +102,8 @@ def plan(
     none = F.array().cast("array<struct<most:bigint,theta:bigint>>")
     state = cut(state.withColumns({"cuts": none, "again": none}))
     size, place = F.col("size"), F.col("place")
-    for kind in ("cuts", "again"):
-        for turn in range(rounds):
+    for kind, most_turns in zip(("cuts", "again"), rounds):
+        for turn in range(most_turns):
             open_ = state.where(f"left > 0 and left > {close} * target")
             offered = sized.where("size > 0").join(open_.select("skey", F.col("left").alias("budget"), "whole", "cuts", "again"), "skey")
             taken = _inside(size, place, F.col("cuts"))
@@ -112,9 +116,7 @@ def plan(
             found = _threshold(offered.select("skey", "size", "place", "budget"))
             limit = F.lit((1 << 62) - 1) if kind == "cuts" and not turn else F.col("left")
             new = F.when(F.col("theta").isNotNull(), F.array(F.struct(limit.cast("long").alias("most"), "theta"))).otherwise(none)
-            # what the new threshold takes comes off what is left
-            took = offered.join(found, "skey").where("place < theta").groupBy("skey").agg(F.sum("size").alias("took"))
-            grown = state.join(found, "skey", "left").join(took, "skey", "left").withColumn(kind, F.concat(kind, new))
+            grown = state.join(found, "skey", "left").withColumn(kind, F.concat(kind, new))
             grown = grown.withColumn("took", F.coalesce("took", F.lit(0))).withColumn("left", F.col("left") - F.col("took"))
             state = cut(grown.select("skey", "source_size", "target", "whole", "left", "cuts", "again", "took"))
             moved = state.agg(F.sum("took").alias("n"), F.count_if(F.col("left") > F.lit(close) * F.col("target")).alias("open")).first()
