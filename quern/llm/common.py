@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,10 +60,3 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
     if held:
         yield first, held
 
-
-def no_rows(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], df.schema)
-
-
-def as_uint64(signed: np.ndarray) -> np.ndarray:
-    return signed.view(np.uint64)
