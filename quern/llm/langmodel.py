@@ -137,9 +137,31 @@ def _totals(rows: DataFrame, least: int, kind: str, context_bits: int = 0) -> Da
     return rows.groupBy("bucket").applyInArrow(total, _TOTALS)
 
 
-def _collected(totals: DataFrame, kind: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """One bounded row of each bucket."""
-    rows = totals.where(F.col("kind") == kind).select("keys", "counts").collect()
+def _merged(totals: DataFrame, kind: str, buckets: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows of a kind, merged by workers to about the root of the number of buckets before the driver gets them.
+
+    `top` keeps the `most` largest counts of a group, `mass` and `stats` are added up; either way a row has a bounded size.
+    """
+    groups = max(1, int(np.sqrt(buckets)))
+
+    def merge(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k, dtype="<u8") for k in table.column("keys").to_pylist()]
+        counts = [np.frombuffer(c, dtype="<i8") for c in table.column("counts").to_pylist()]
+        if kind == "top":
+            k, c = np.concatenate(keys), np.concatenate(counts)
+            best = np.lexsort((k, -c))[:most]
+            k, c = k[best], c[best]
+        elif kind == "mass":
+            k, where = np.unique(np.concatenate(keys), return_inverse=True)
+            c = np.zeros(2 * len(k), dtype="<i8")
+            np.add.at(c, where, np.concatenate([x[: len(y)] for x, y in zip(counts, keys)]))
+            np.add.at(c, where + len(k), np.concatenate([x[len(y) :] for x, y in zip(counts, keys)]))
+        else:
+            k, c = keys[0], np.sum(counts, axis=0)
+        return pa.table({"keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([c.astype("<i8").tobytes()], pa.binary())})
+
+    own = totals.where(F.col("kind") == kind).select(F.pmod(F.xxhash64("keys", "counts"), F.lit(groups)).alias("g"), "keys", "counts")
+    rows = own.groupBy("g").applyInArrow(merge, "keys binary, counts binary").collect()
     return [(np.frombuffer(r[0], dtype="<u8"), np.frombuffer(r[1], dtype="<i8")) for r in rows]
 
 
@@ -170,9 +192,9 @@ def score(docs: DataFrame, learn: Column, contexts_bits: int = 13, least_pair: i
 
     sent = scanned.select("text", "learn", "shard").mapInArrow(words, _ROWS)
     totals = cut(_totals(sent, 0, "word", contexts_bits))
-    stats = [c for _, c in _collected(totals, "stats")]
+    stats = [c for _, c in _merged(totals, "stats", buckets, 0)]
     tokens, distinct, once, two = (int(x) for x in np.sum(stats, axis=0)) if stats else (0, 0, 0, 0)
-    top = _collected(totals, "top")
+    top = _merged(totals, "top", buckets, 1 << contexts_bits)
     hashes = np.concatenate([k for k, _ in top]) if top else np.zeros(0, dtype=_U)
     counts = np.concatenate([c for _, c in top]) if top else np.zeros(0, dtype=np.int64)
     best = np.lexsort((hashes, -counts))[: 1 << contexts_bits]
@@ -193,7 +215,7 @@ def score(docs: DataFrame, learn: Column, contexts_bits: int = 13, least_pair: i
     pair_rows = scanned.select("text", "learn", "shard").mapInArrow(pairs, _ROWS)
     pair_totals = cut(_totals(pair_rows, least_pair, "pair", contexts_bits))
     mass, kinds = np.zeros(len(contexts)), np.zeros(len(contexts))
-    for k, c in _collected(pair_totals, "mass"):
+    for k, c in _merged(pair_totals, "mass", buckets, 0):
         np.add.at(mass, k.astype(np.int64), c[: len(k)])
         np.add.at(kinds, k.astype(np.int64), c[len(k) :])
     pair_discount = 0.75
