@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_batches
+from quern.llm.common import arrow_batches, cut
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
@@ -69,6 +69,9 @@ _DROP_WORDS = frozenset(
     "recommendations widget widgets pagination pager skiplink searchbox searchform hidden".split()
 )
 _NEGATED = frozenset("with has no without non not show hide is".split())
+#: A host with a larger part of all pages than one in so many is joined apart.
+HOT_SHARE = 200
+
 _MAIN_WORDS = frozenset("content article post entry story main maincontent articlebody".split())
 
 
@@ -270,7 +273,7 @@ def host(url: Column) -> Column:
 
 
 def host_templates(pages: DataFrame, least: int = 4, share: float = 0.5, sure_least: int = 10, sure_share: float = 0.6) -> DataFrame:
-    """host, templates, sure: hashes of subtrees that recur on at least max(least, share * pages) pages of the host.
+    """host, pages, templates, sure: hashes of subtrees that recur on at least max(least, share * pages) pages of the host.
 
     At most 1 / share times the subtrees of a page recur so, which bounds the arrays.
     """
@@ -300,11 +303,12 @@ def host_templates(pages: DataFrame, least: int = 4, share: float = 0.5, sure_le
     counted = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hash long, n long")
     counted = counted.groupBy("host", "hash").agg(F.sum("n").alias("n"))
     # a hash of -1 counts the host's pages; both shares are of that count, so one pass over the sums is enough
-    frequent = counted.where(f"n >= {least} or hash = -1")
+    frequent = cut(counted.where(f"n >= {least} or hash = -1"))
     total = frequent.where("hash = -1").select("host", F.col("n").alias("pages"))
-    frequent = frequent.where("hash <> -1").join(total, "host").where(F.col("n") >= F.lit(share) * F.col("pages"))
+    found = frequent.where("hash <> -1").join(total, "host").where(F.col("n") >= F.lit(share) * F.col("pages"))
     certain = (F.col("n") >= sure_least) & (F.col("n") >= F.lit(sure_share) * F.col("pages"))
-    return frequent.groupBy("host").agg(F.collect_list("hash").alias("templates"), F.collect_list(F.when(certain, F.col("hash"))).alias("sure"))
+    found = found.groupBy("host").agg(F.collect_list("hash").alias("templates"), F.collect_list(F.when(certain, F.col("hash"))).alias("sure"))
+    return total.join(found, "host", "left")
 
 
 def extract(pages: DataFrame, **parameters) -> DataFrame:
@@ -327,8 +331,17 @@ def extract(pages: DataFrame, **parameters) -> DataFrame:
 
     arrow_batches(pages.sparkSession, 256)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    templates = host_templates(rows, **parameters)
-    joined = rows.withColumn("host", host(F.col("url"))).join(templates, "host", "left")
+    templates = cut(host_templates(rows, **parameters))
+    rows = rows.withColumn("host", host(F.col("url")))
+    # hosts with at least one in HOT_SHARE of all pages, so no more than HOT_SHARE hosts, are joined without a shuffle
+    every = templates.agg(F.sum("pages").alias("n")).first()["n"] or 0
+    hot = templates.where(F.col("pages") * HOT_SHARE >= every)
+    names = [r["host"] for r in hot.select("host").collect()]
+    columns = ["host", "templates", "sure"]
+    is_hot = F.col("host").isin(names) if names else F.lit(False)
+    joined = rows.where(~is_hot).join(templates.where(~is_hot).where("templates is not null").select(*columns), "host", "left").unionByName(
+        rows.where(is_hot).join(F.broadcast(hot.select(*columns)), "host", "left")
+    )
     return joined.select("page_id", "url", "html", "templates", "sure").mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )
