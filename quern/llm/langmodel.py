@@ -1,7 +1,7 @@
 """Scoring texts by a weighted backoff automaton over words.
 
-States are the most frequent words of the training texts (as contexts) and the root; a state's arcs are its kept
-bigrams, discounted absolutely, and its failure arc leads to the root with the weight that the discount left.  The root's
+States are the words of the training texts (as contexts) and the root; a state's arcs are its kept bigrams, discounted
+absolutely, and its failure arc leads to the root with the weight that the discount left.  The root's
 arcs are all training words, and one arc stands for any other.  A traversal goes left to right, carries the state and
 sums log-probabilities.  After a word the state is that word's, whatever came before, so a text's positions are
 traversed together as arrays.
@@ -9,7 +9,8 @@ traversed together as arrays.
 The model is never gathered in one place.  A shard is the texts of one input partition.  It sends the distinct words
 and word pairs that it holds, with their training counts, to buckets; a bucket sums its words over all shards and sends
 to each shard only the totals it asked for.  So a shard gets the part of the automaton that its own texts can reach,
-and its size is bounded by the shard's.
+and its size is bounded by the shard's.  A context's pairs lie in one bucket, which knows the context's failure weight;
+only those of the most frequent words are dealt over all buckets, and their weights are summed for all shards at once.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from quern.llm.common import arrow_batches, crc_mod, cut, text_slices
 _U = np.uint64
 #: What the end of a text counts under among the word hashes.
 END = int(kernels.mix(np.array([0x5151], dtype=_U))[0])
-_ROWS = "bucket int, shard int, keys binary, counts binary"
+_ROWS = "bucket int, shard int, keys binary, counts binary, contexts binary"
 _TOTALS = "kind string, shard int, keys binary, counts binary"
 #: Distinct keys that a task holds before it sends them on.
 _HELD = 2_000_000
@@ -36,43 +37,67 @@ _HELD = 2_000_000
 
 @dataclass(frozen=True)
 class Model:
-    """What every shard needs besides its own arcs; its size is bounded by the number of contexts."""
+    """What every shard needs besides its own arcs; its size is bounded by the number of common contexts."""
 
     tokens: int
     words: int
     unknown: float  # probability of all words not seen
     discount: float
-    contexts: np.ndarray  # word hashes, sorted
-    context_counts: np.ndarray
-    failure: np.ndarray  # weight of each context's failure arc
+    contexts: np.ndarray  # hashes of the contexts whose pairs are dealt over all buckets, sorted
+    mass: np.ndarray  # of each of these, the sum of its kept pairs' counts
+    kinds: np.ndarray  # and their number
     pair_discount: float
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _summed(keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    out = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return out if contexts is None else (*out, contexts[order[first]])
+
+
+def _short(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest."""
+    most = int(counts.max()) if len(counts) else 0
+    return counts.astype(next(t for t in ("<u1", "<u2", "<u4", "<i8") if most <= np.iinfo(t).max)).tobytes()
+
+
+def _long(raw: bytes, n: int) -> np.ndarray:
+    """What _short() made of n counts."""
+    return np.frombuffer(raw, dtype=("<u1", "<u2", "<u4", "<i8")[(len(raw) // n).bit_length() - 1]).astype("<i8") if n else np.zeros(0, dtype="<i8")
 
 
 class _Holder:
-    """Distinct keys of a task with their training counts."""
+    """Distinct keys of a task with their training counts, and the contexts of pairs."""
 
-    def __init__(self) -> None:
-        self.keys, self.counts, self.size = [], [], 0
+    def __init__(self, common: np.ndarray | None = None) -> None:
+        self.common, self.parts, self.size = common, [], 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        keys, counts = _summed(keys, counts)
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.size += len(keys)
+    def add(self, *part: np.ndarray) -> None:
+        part = _summed(*part)
+        self.parts.append(part)
+        self.size += len(part[0])
+
+    def full(self) -> bool:
+        """Whether the keys, once merged, are too many to hold."""
+        if self.size > _HELD:
+            self.parts = [_summed(*map(np.concatenate, zip(*self.parts)))]
+            self.size = len(self.parts[0][0])
+            return 2 * self.size > _HELD
+        return False
 
     def rows(self, shard: int, buckets: int) -> Iterator[pa.RecordBatch]:
-        if not self.keys:
+        if not self.parts:
             return
-        keys, counts = _summed(np.concatenate(self.keys), np.concatenate(self.counts))
-        self.__init__()
-        where = (kernels.mix(keys) % _U(buckets)).astype(np.int64)
+        keys, counts, *contexts = _summed(*map(np.concatenate, zip(*self.parts)))
+        self.__init__(self.common)
+        dealt = keys
+        if contexts:
+            order = np.argsort(contexts[0], kind="stable")  # repeats side by side take little room
+            keys, counts, contexts = keys[order], counts[order], contexts[0][order]
+            dealt = np.where(_among(contexts, self.common) >= 0, keys, contexts)
+        where = (kernels.mix(dealt) % _U(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
         bounds = np.searchsorted(where[order], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(bounds))
@@ -82,9 +107,10 @@ class _Holder:
                 pa.array(full, pa.int32()),
                 pa.array(np.full(len(full), shard), pa.int32()),
                 pa.array([keys[p].tobytes() for p in parts], pa.binary()),
-                pa.array([counts[p].astype("<i8").tobytes() for p in parts], pa.binary()),
+                pa.array([_short(counts[p]) for p in parts], pa.binary()),
+                pa.array([contexts[p].tobytes() if len(contexts) else None for p in parts], pa.binary()),
             ],
-            names=["bucket", "shard", "keys", "counts"],
+            names=["bucket", "shard", "keys", "counts", "contexts"],
         )
 
 
@@ -108,30 +134,43 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         yield tokens, bounds, np.repeat(learn[first : first + len(raw)], np.diff(bounds)), batch.column(2)[first].as_py()
 
 
-def _totals(rows: DataFrame, least: int, kind: str, context_bits: int = 0) -> DataFrame:
-    """Each shard's keys with their totals over all shards, if at least `least`, and statistics of each bucket."""
+def _totals(rows: DataFrame, least: int, kind: str, most: int = 0, common=None) -> DataFrame:
+    """Each shard's keys with their totals over all shards, if at least `least`, and statistics of each bucket.
+
+    Of words, the `most` largest totals too.  Of pairs, each shard's contexts with mass and kinds (the sum of their kept
+    pairs' counts, and the number) as `fail`; of the common contexts (a broadcast), the bucket's part of them as `mass`.
+    """
 
     def total(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         out = []
-        parts = [(s, np.frombuffer(k, dtype="<u8"), np.frombuffer(c, dtype="<i8")) for s, k, c in zip(*(table.column(i).to_pylist() for i in (1, 2, 3)))]
-        keys, counts = _summed(np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
-        for shard, own, _ in parts:
+        parts = []
+        for shard, k, c, x in zip(*(table.column(i).to_pylist() for i in (1, 2, 3, 4))):
+            own = np.frombuffer(k, dtype="<u8")
+            parts.append((shard, own, _long(c, len(own)), np.frombuffer(x, dtype="<u8") if x else own))
+        keys, counts, contexts = _summed(*(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)))
+        for shard, own, _, _ in parts:
             sums = counts[np.searchsorted(keys, own)]
             some = sums >= least
             if some.any():
-                out.append((kind, shard, own[some].tobytes(), sums[some].tobytes()))
-        stats = np.array([counts.sum(), (counts > 0).sum(), (counts == 1).sum(), (counts == 2).sum()], dtype="<i8")
-        out.append(("stats", -1, b"", stats.tobytes()))
+                out.append((kind, shard, own[some].tobytes(), _short(sums[some])))
         if kind == "word":
-            top = np.argsort(-counts, kind="stable")[: 1 << context_bits]
+            stats = np.array([counts.sum(), (counts > 0).sum(), (counts == 1).sum(), (counts == 2).sum()], dtype="<i8")
+            out.append(("stats", -1, b"", stats.tobytes()))
+            top = np.argsort(-counts, kind="stable")[:most]
             top = top[counts[top] > 1]
             out.append(("top", -1, keys[top].tobytes(), counts[top].tobytes()))
         else:
             kept = counts >= least
-            context = (keys[kept] >> _U(context_bits)).astype(np.int64)
-            found, n = np.unique(context, return_counts=True)
-            mass = np.bincount(np.searchsorted(found, context), weights=counts[kept]).astype("<i8") if len(found) else n
-            out.append(("mass", -1, found.astype("<i8").tobytes(), np.concatenate([mass, n]).astype("<i8").tobytes()))
+            found, where, n = np.unique(contexts[kept], return_inverse=True, return_counts=True)
+            mass = np.bincount(where, weights=counts[kept], minlength=len(found)).astype("<i8")
+            dealt = _among(found, common.value) >= 0
+            out.append(("mass", -1, found[dealt].tobytes(), np.concatenate([mass[dealt], n[dealt]]).astype("<i8").tobytes()))
+            found, mass, n = found[~dealt], mass[~dealt], n[~dealt]
+            for shard, _, _, own in parts:
+                at = _among(np.unique(own), found)
+                at = at[at >= 0]
+                if len(at):
+                    out.append(("fail", shard, found[at].tobytes(), _short(np.concatenate([mass[at], n[at]]))))
         return pa.table(list(map(list, zip(*out))), schema=pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     return rows.groupBy("bucket").applyInArrow(total, _TOTALS)
@@ -172,7 +211,8 @@ def score(docs: DataFrame, learn: Column, contexts_bits: int = 13, least_pair: i
     from; null counts as no.  A null text is empty: one token, the end.  Rows of one id are scored each by itself.  An
     empty table gives no rows; with no row to learn from every token is unknown.
 
-    contexts_bits: 2**bits words at most are contexts; least_pair: a bigram's least count in the model.
+    Every bigram of least_pair training occurrences or more is in the model.  contexts_bits: the pairs of so many
+    contexts, 2**bits, are dealt over all buckets; it doesn't change the scores.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -186,58 +226,54 @@ def score(docs: DataFrame, learn: Column, contexts_bits: int = 13, least_pair: i
         for batch in batches:
             for tokens, _, learnt, shard in _slices(batch):
                 held.add(tokens, learnt.astype(np.int64))
-            if held.size > _HELD:
+            if held.full():
                 yield from held.rows(shard, buckets)
         yield from held.rows(shard, buckets)
 
     sent = scanned.select("text", "learn", "shard").mapInArrow(words, _ROWS)
-    totals = cut(_totals(sent, 0, "word", contexts_bits))
+    totals = cut(_totals(sent, 0, "word", 1 << contexts_bits))
     stats = [c for _, c in _merged(totals, "stats", buckets, 0)]
     tokens, distinct, once, two = (int(x) for x in np.sum(stats, axis=0)) if stats else (0, 0, 0, 0)
     top = _merged(totals, "top", buckets, 1 << contexts_bits)
     hashes = np.concatenate([k for k, _ in top]) if top else np.zeros(0, dtype=_U)
     counts = np.concatenate([c for _, c in top]) if top else np.zeros(0, dtype=np.int64)
     best = np.lexsort((hashes, -counts))[: 1 << contexts_bits]
-    best = best[np.argsort(hashes[best])]
-    contexts, context_counts = hashes[best], counts[best]
+    contexts = np.sort(hashes[best])
     shared_contexts = spark.sparkContext.broadcast(contexts)  # at most 2**contexts_bits numbers
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shard, known = _Holder(), -1, shared_contexts.value
+        held, shard = _Holder(shared_contexts.value), -1
         for batch in batches:
             for tokens_, bounds, learnt, shard in _slices(batch):
-                where, keys = _pair_keys(tokens_, bounds, known, contexts_bits)
-                held.add(keys, learnt[where].astype(np.int64))
-            if held.size > _HELD:
+                where, keys = _pair_keys(tokens_, bounds)
+                held.add(keys, learnt[where].astype(np.int64), tokens_[where - 1])
+            if held.full():
                 yield from held.rows(shard, buckets)
         yield from held.rows(shard, buckets)
 
     pair_rows = scanned.select("text", "learn", "shard").mapInArrow(pairs, _ROWS)
-    pair_totals = cut(_totals(pair_rows, least_pair, "pair", contexts_bits))
+    pair_totals = cut(_totals(pair_rows, least_pair, "pair", common=shared_contexts))
     mass, kinds = np.zeros(len(contexts)), np.zeros(len(contexts))
     for k, c in _merged(pair_totals, "mass", buckets, 0):
-        np.add.at(mass, k.astype(np.int64), c[: len(k)])
-        np.add.at(kinds, k.astype(np.int64), c[len(k) :])
+        np.add.at(mass, _among(k, contexts), c[: len(k)])
+        np.add.at(kinds, _among(k, contexts), c[len(k) :])
     pair_discount = 0.75
     discount = once / (once + 2 * two) if once and two else 0.5
-    failure = 1.0 - (mass - pair_discount * kinds) / np.maximum(context_counts, 1)
     unknown = discount * distinct / tokens if tokens else 1.0
-    model = spark.sparkContext.broadcast(Model(tokens, distinct, unknown, discount, contexts, context_counts, failure, pair_discount))
+    model = spark.sparkContext.broadcast(Model(tokens, distinct, unknown, discount, contexts, mass, kinds, pair_discount))
 
     def traverse(_key: tuple[pa.Scalar, ...], texts: pa.Table, arcs: pa.Table) -> pa.Table:
         m = model.value
-        table = {"word": ([], []), "pair": ([], [])}
+        table = {"word": [], "pair": [], "fail": [(m.contexts, np.stack([m.mass, m.kinds], axis=1))]}
         for kind, k, c in zip(*(arcs.column(n).to_pylist() for n in ("kind", "keys", "counts"))):
-            table[kind][0].append(np.frombuffer(k, dtype="<u8"))
-            table[kind][1].append(np.frombuffer(c, dtype="<i8"))
-        (word_keys, word_counts), (pair_keys, pair_counts) = (
-            _distinct(*(np.concatenate(x) if x else np.zeros(0, dtype=_U) for x in table[kind])) for kind in ("word", "pair")
-        )
+            k = np.frombuffer(k, dtype="<u8")
+            table[kind].append((k, _long(c, len(k)) if kind != "fail" else _long(c, 2 * len(k)).reshape(2, -1).T))
+        words_, pairs_, fails = (_distinct(x) for x in table.values())
         out = []
         for batch in texts.select(["text", "doc_id"]).to_batches(max_chunksize=512):
             for first, raw in text_slices(batch.column(0)):
                 tokens_, bounds = _tokens(raw)
-                out.append(_scores(m, tokens_, bounds, word_keys, word_counts, pair_keys, pair_counts, contexts_bits))
+                out.append(_scores(m, tokens_, bounds, *words_, *pairs_, *fails))
         n, known, base, own = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0),) * 4
         return pa.table(
             [texts.column("doc_id"), texts.column("learn"), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
@@ -253,30 +289,32 @@ def score(docs: DataFrame, learn: Column, contexts_bits: int = 13, least_pair: i
     return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def _distinct(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """A shard that sent a key more than once gets it back as often, with the same total."""
-    keys, first = np.unique(keys, return_index=True)
-    return keys, counts[first].astype(np.float64)
+    if not parts:
+        return np.zeros(0, dtype=_U), np.zeros(0)
+    keys, first = np.unique(np.concatenate([k for k, _ in parts]), return_index=True)
+    return keys, np.concatenate([c for _, c in parts])[first].astype(np.float64)
 
 
-def _context_of(tokens: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Number of each token's state; -1 for the root."""
-    if not len(contexts):
+def _among(tokens: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where each token stands in a sorted array; -1 for those it doesn't have."""
+    if not len(found):
         return np.full(len(tokens), -1)
-    at = np.minimum(np.searchsorted(contexts, tokens), len(contexts) - 1)
-    return np.where(contexts[at] == tokens, at, -1)
+    at = np.minimum(np.searchsorted(found, tokens), len(found) - 1)
+    return np.where(found[at] == tokens, at, -1)
 
 
-def _pair_keys(tokens: np.ndarray, bounds: np.ndarray, contexts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose token and the one before it in the text are contexts, and the keys of the pairs."""
-    state = _context_of(tokens, contexts)
-    before = np.concatenate([[-1], state[:-1]]) if len(state) else state
-    before[bounds[:-1]] = -1  # a text begins at the root
-    where = np.flatnonzero((before >= 0) & (state >= 0))
-    return where, (before[where].astype(_U) << _U(bits)) | state[where].astype(_U)
+def _pair_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions with a token before them in their text, and the keys of the pairs: a hash of both, in order."""
+    begins = np.zeros(len(tokens), dtype=bool)
+    begins[bounds[:-1]] = True  # a text begins at the root
+    where = np.flatnonzero(~begins)
+    with np.errstate(over="ignore"):
+        return where, kernels.mix(kernels.mix(tokens[where - 1]) + tokens[where])
 
 
-def _scores(m: Model, tokens, bounds, word_keys, word_counts, pair_keys, pair_counts, bits):
+def _scores(m: Model, tokens, bounds, word_keys, word_counts, pair_keys, pair_counts, fail_keys, fails):
     """Per text: tokens, known tokens, base score, and the automaton's log10 probability."""
     at = np.searchsorted(word_keys, tokens)
     if len(at) and (at.max() >= len(word_keys) or (word_keys[at] != tokens).any()):
@@ -285,16 +323,14 @@ def _scores(m: Model, tokens, bounds, word_keys, word_counts, pair_keys, pair_co
     base = np.log10((c + 1) / (m.tokens + 1 * (m.words + 1)))
     total = max(1, m.tokens)
     root = np.where(c > 0, (c - m.discount) / total, m.unknown)
-    state = _context_of(tokens, m.contexts)
-    before = np.concatenate([[-1], state[:-1]])
-    before[bounds[:-1]] = -1
-    p = np.where(before >= 0, m.failure[before] if len(m.failure) else 1.0, 1.0) * root
-    where, keys = _pair_keys(tokens, bounds, m.contexts, bits)
-    if len(pair_keys) and len(where):
-        j = np.minimum(np.searchsorted(pair_keys, keys), len(pair_keys) - 1)
-        has = pair_keys[j] == keys
-        where, j = where[has], j[has]
-        p[where] += (pair_counts[j] - m.pair_discount) / m.context_counts[before[where]]
+    where, keys = _pair_keys(tokens, bounds)
+    p, seen = root.copy(), np.maximum(c[where - 1], 1)
+    j = _among(tokens[where - 1], fail_keys)
+    own = j >= 0
+    p[where[own]] *= 1.0 - (fails[j[own], 0] - m.pair_discount * fails[j[own], 1]) / seen[own]
+    j = _among(keys, pair_keys)
+    own = j >= 0
+    p[where[own]] += (pair_counts[j[own]] - m.pair_discount) / seen[own]
     logs = np.log10(np.minimum(p, 1.0))
     starts = bounds[:-1]
     return np.diff(bounds), np.add.reduceat(c > 0, starts, dtype=np.int64), np.add.reduceat(base, starts), np.add.reduceat(logs, starts)

@@ -87,3 +87,25 @@ def test_odd_scores(spark, odd, none, tmp_path):
     assert langmodel.score(spark.read.parquet(f"{tmp_path}/none"), langmodel.trainable(F.col("doc_id"))).collect() == []
     untrained = langmodel.score(table, F.lit(False)).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in untrained)
+
+
+def test_every_repeated_bigram_counts(spark, tmp_path):
+    """More repeated words than are dealt over all buckets, each of them in two repeated bigrams."""
+    texts = [" ".join(f"w{k}" for k in range(a, a + 200)) for a in range(0, 10_000, 200)] * 2
+    texts += ["w9998 w9999 w9997", "the w1 the w2 the w1"] * 2
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    table = spark.read.parquet(f"{tmp_path}/docs")
+    got = {r["doc_id"]: r["score"] for r in langmodel.score(table, F.lit(True)).collect()}
+    words = [[*t.split(), None] for t in texts]
+    count, pairs = Counter(w for t in words for w in t), Counter(p for t in words for p in zip(t, t[1:]))
+    n, pairs = sum(count.values()), {p: c for p, c in pairs.items() if c >= 2}
+    left = {a: 1.0 for a in count}
+    for (a, _), c in pairs.items():
+        left[a] -= (c - 0.75) / count[a]
+    for i, t in enumerate(words):
+        own = math.log10((count[t[0]] - 0.5) / n)  # no word is seen once, so 0.5 is discounted
+        for a, b in zip(t, t[1:]):
+            own += math.log10(left[a] * (count[b] - 0.5) / n + ((pairs[a, b] - 0.75) / count[a] if (a, b) in pairs else 0.0))
+        assert abs(got[i] - own) < 1e-6 * abs(own)
+    few = langmodel.score(table, F.lit(True), contexts_bits=2, buckets=3).collect()
+    assert all(abs(r["score"] - got[r["doc_id"]]) < 1e-9 * abs(got[r["doc_id"]]) for r in few)
