@@ -1,7 +1,8 @@
 """Main text of web pages by site template removal.
 
-Every element subtree of a page is hashed; a count per host, summed within each task before it is shuffled, finds the
-subtrees that recur across many pages of that host, and these are deleted.  What is left of the page's main element
+Every element subtree of a page is hashed; a count per host finds the subtrees that recur across many pages of that
+host, and these are deleted.  Copies of a page, which have one text, are put together within each task and after the
+shuffle and count as one page, so that recurring means recurring in different articles.  What is left of the page's main element
 (main, article, or the likeliest container) without navigation, forms, adverts and comments is its text.
 """
 
@@ -9,7 +10,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -273,39 +273,49 @@ def host(url: Column) -> Column:
 
 
 def host_templates(pages: DataFrame, least: int = 4, share: float = 0.5, sure_least: int = 10, sure_share: float = 0.6) -> DataFrame:
-    """host, pages, templates, sure: hashes of subtrees that recur on at least max(least, share * pages) pages of the host.
+    """host, pages, rows, templates, sure: hashes of subtrees that recur on at least max(least, share * pages) pages of the host.
 
-    At most 1 / share times the subtrees of a page recur so, which bounds the arrays.
+    Pages whose main element has the same text are copies and count as one page; rows counts them all.  At most 1 / share times the subtrees of a page recur so, which bounds the arrays.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held: dict[tuple[str, int], list] = {}
+        size = 0
 
         def rows() -> pa.RecordBatch:
-            names, hashes = zip(*counts) if counts else ((), ())
+            names, contents = zip(*held) if held else ((), ())
             return pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array(hashes, pa.int64()), pa.array(list(counts.values()), pa.int64())],
-                names=["host", "hash", "n"],
+                [pa.array(names, pa.string()), pa.array(contents, pa.int64()), pa.array([r[0] for r in held.values()], pa.int64()),
+                 pa.array([list(r[1]) for r in held.values()], pa.list_(pa.int64()))],
+                names=["host", "content", "n", "hashes"],
             )
 
         for batch in batches:
             for name, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts[name, -1] += 1
+                page = parse(source.as_py() or "")
+                text = "\n".join(blocks(page, frozenset(), frozenset()))
                 found: dict[int, int] = {}
-                subtree_hashes(parse(source.as_py() or ""), found)
-                for h in set(found.values()):
-                    counts[name, h] += 1
-            if len(counts) > 100_000:
+                subtree_hashes(page, found)
+                row = held.setdefault((name, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1), [0, set()])
+                size -= len(row[1])
+                row[0] += 1
+                row[1].update(found.values())
+                size += len(row[1])
+            if size > 100_000:
                 yield rows()
-                counts.clear()
+                held.clear()
+                size = 0
         yield rows()
 
-    counted = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hash long, n long")
-    counted = counted.groupBy("host", "hash").agg(F.sum("n").alias("n"))
-    # a hash of -1 counts the host's pages; both shares are of that count, so one pass over the sums is enough
+    counted = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, content long, n long, hashes array<long>")
+    # pages of one text are copies, and what they have counts once; a task sends one row for each text that it has seen
+    counted = counted.groupBy("host", "content").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("hashes"))
+    counted = counted.select("host", "n", F.explode(F.concat(F.array(F.lit(-1).cast("long")), "hashes")).alias("hash"))
+    counted = counted.groupBy("host", "hash").agg(F.count("*").alias("n"), F.sum("n").alias("rows"))
+    # a hash of -1 counts the host's texts; both shares are of that count, so one pass over the sums is enough
     frequent = cut(counted.where(f"n >= {least} or hash = -1"))
-    total = frequent.where("hash = -1").select("host", F.col("n").alias("pages"))
-    found = frequent.where("hash <> -1").join(total, "host").where(F.col("n") >= F.lit(share) * F.col("pages"))
+    total = frequent.where("hash = -1").select("host", F.col("n").alias("pages"), "rows")
+    found = frequent.where("hash <> -1").select("host", "hash", "n").join(total, "host").where(F.col("n") >= F.lit(share) * F.col("pages"))
     certain = (F.col("n") >= sure_least) & (F.col("n") >= F.lit(sure_share) * F.col("pages"))
     found = found.groupBy("host").agg(F.collect_list("hash").alias("templates"), F.collect_list(F.when(certain, F.col("hash"))).alias("sure"))
     return total.join(found, "host", "left")
@@ -314,8 +324,8 @@ def host_templates(pages: DataFrame, least: int = 4, share: float = 0.5, sure_le
 def extract(pages: DataFrame, **parameters) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html; others are ignored).
 
-    A null or empty html gives an empty text; a null or odd url belongs to the host "".  Rows that repeat a page count
-    as pages.  Character references are decoded, white space inside a block becomes one space, blocks are joined by \\n.
+    A null or empty html gives an empty text; a null or odd url belongs to the host "".  Rows of one
+    host that repeat a page's text count as one page.  Character references are decoded, white space inside a block becomes one space, blocks are joined by \\n.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,8 +344,8 @@ def extract(pages: DataFrame, **parameters) -> DataFrame:
     templates = cut(host_templates(rows, **parameters))
     rows = rows.withColumn("host", host(F.col("url")))
     # hosts with at least one in HOT_SHARE of all pages, so no more than HOT_SHARE hosts, are joined without a shuffle
-    every = templates.agg(F.sum("pages").alias("n")).first()["n"] or 0
-    hot = templates.where(F.col("pages") * HOT_SHARE >= every)
+    every = templates.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    hot = templates.where(F.col("rows") * HOT_SHARE >= every)
     names = [r["host"] for r in hot.select("host").collect()]
     columns = ["host", "templates", "sure"]
     is_hot = F.col("host").isin(names) if names else F.lit(False)

@@ -184,3 +184,16 @@ def test_templates_of_a_host_go(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert htmltext.extract(none).collect() == []
+
+
+def test_copies_are_no_templates(spark):
+    copy = "<body><div>Visitor {k}</div><article><h1>Title of it</h1><p>Some text.</p><ul><li>a<li>b</ul></article><script>{k}</script></body>"
+    plain = "<body><p>Copied text.</p><p>More of it.</p></body>"
+    rows = [(k, "https://a.example/", copy.format(k=k)) for k in range(10)]
+    rows += [(20 + k, "https://b.example/", plain) for k in range(6)] + [(30, "https://b.example/x", "<body><p>Other.</p></body>")]
+    rows += [(40 + k, "https://c.example/", f"<body><div>Welcome</div><article><p>Text {k % 5}.</p></article></body>") for k in range(25)]
+    rows += [(70 + k, "https://d.example/", f"<body><div>Welcome</div><p>Text {k % 5}.</p></body>") for k in range(25)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert {got[k] for k in range(10)} == {"Title of it\nSome text.\na\nb"}
+    assert {got[20 + k] for k in range(6)} == {"Copied text.\nMore of it."} and got[30] == "Other."
+    assert got[41] == got[71] == "Text 1."
