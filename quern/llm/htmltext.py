@@ -2,8 +2,8 @@
 
 Every element subtree of a page is hashed; a count per host finds the subtrees that recur across many pages of that
 host, and these are deleted.  Copies of a page, which have one text, are put together within each task and after the
-shuffle and count as one page, so that recurring means recurring in different articles.  What is left of the page's main element
-(main, article, or the likeliest container) without navigation, forms, adverts and comments is its text.
+shuffle and count as one page, so that recurring means recurring in different articles.  What is left of the element around
+all parts of the article (main, article, or containers named as content) without navigation, forms, adverts and comments is its text.
 """
 
 from __future__ import annotations
@@ -200,30 +200,52 @@ def _text_size(node: Node, cache: dict[int, int]) -> int:
     return cache[id(node)]
 
 
-def main_element(root: Node) -> tuple[Node, bool]:
-    """The element that holds the article, and whether the page itself says so."""
-    wanted, todo = [], [root]
+def main_element(root: Node) -> tuple[Node, dict[int, bool]]:
+    """The element that holds all parts of the article, and these by id(), with whether the page itself says so.
+
+    Parts are all articles and main elements, or else all elements named as content if their common ancestor holds half
+    of the text; a first heading beside marked parts belongs to them.
+    """
+    wanted, todo, parents = [], [root], {}
     while todo:
         at = todo.pop()
         if at.tag != "#root" and _unwanted(at, False):
             continue
         wanted.append(at)
-        todo.extend(c for c in at.children if not isinstance(c, str))
+        for c in at.children:
+            if not isinstance(c, str):
+                parents[id(c)] = at
+                todo.append(c)
     sizes: dict[int, int] = {}
     _text_size(root, sizes)
     size = lambda x: sizes.get(id(x), 0)
-    for pick in (
-        [x for x in wanted if x.tag == "article" or "articleBody" in _attributes(x).get("itemprop", "")],
-        [x for x in wanted if x.tag == "main" or _attributes(x).get("role", "") in ("main", "article")],
-    ):
-        pick = [x for x in pick if size(x)]
-        if pick:
-            return max(pick, key=size), True
-    named = [x for x in wanted if x.attrs and any(_MAIN_WORDS.intersection(p) for p in _names(_attributes(x)))]
-    named = [x for x in named if 2 * size(x) >= size(root) > 0]
-    if named:  # the smallest that still holds most of it
-        return min(named, key=lambda x: (size(x), -len(x.children))), False
-    return next((x for x in wanted if x.tag == "body"), root), False
+
+    def common(nodes: list[Node]) -> Node:
+        path: list[Node] = []
+        for k, x in enumerate(nodes):
+            up = [x]
+            while id(up[-1]) in parents:
+                up.append(parents[id(up[-1])])
+            up.reverse()
+            path = up if not k else [p for p, q in zip(path, up) if p is q]
+        return path[-1]
+
+    marks = [
+        x for x in wanted if size(x) and (
+            x.tag in ("article", "main") or x.attrs and (
+                "articleBody" in (found := _attributes(x)).get("itemprop", "") or found.get("role", "") in ("main", "article")
+            )
+        )
+    ]
+    if marks:
+        return common(marks + [x for x in wanted if x.tag == "h1" and size(x)]), {id(x): True for x in marks}
+    named = [x for x in wanted if x.attrs and size(x) and any(_MAIN_WORDS.intersection(p) for p in _names(_attributes(x)))]
+    body = next((x for x in wanted if x.tag == "body"), root)
+    if named:
+        least = common(named)
+        if 2 * size(least) >= size(root):
+            return least, {id(x): False for x in named}
+    return body, {id(body): False}
 
 
 def blocks(root: Node, templates: frozenset[int], sure: frozenset[int]) -> list[str]:
@@ -232,10 +254,9 @@ def blocks(root: Node, templates: frozenset[int], sure: frozenset[int]) -> list[
     Inside an element that the page marks as its article, only subtrees that recur on most pages of a host go: there
     a passage may recur because articles share it.
     """
-    main, marked = main_element(root)
-    drop = sure if marked else templates
+    main, parts = main_element(root)
     hashes: dict[int, int] = {}
-    if drop:
+    if templates or sure:
         subtree_hashes(main, hashes)
         hashes.pop(id(main), None)
     out: list[str] = []
@@ -247,22 +268,27 @@ def blocks(root: Node, templates: frozenset[int], sure: frozenset[int]) -> list[
             out.append(text)
         held.clear()
 
-    todo: list[Node | str | None] = [main]
+    inside, marked = id(main) in parts, parts.get(id(main), False)
+    todo: list[tuple[Node | str | None, bool, bool]] = [(main, inside, marked)]  # in a part, in a marked one
     while todo:
-        at = todo.pop()
+        at, inside, marked = todo.pop()
         if at is None:
             flush()
         elif isinstance(at, str):
             held.append(html.unescape(at) if "&" in at else at)
         elif at.tag == "br":
             held.append(" ")
-        elif at is main or not (_unwanted(at, True) or hashes.get(id(at)) in drop):
+        else:
+            if id(at) in parts:
+                inside, marked = True, marked or parts[id(at)]
+            if at is not main and (_unwanted(at, inside) or hashes.get(id(at)) in (sure if marked else templates)):
+                continue
             if at.tag in _BLOCK:
                 flush()
-                todo.append(None)
+                todo.append((None, inside, marked))
             if at.tag in ("img", "wbr") or at.tag in _RAW:
                 continue
-            todo.extend(reversed(at.children))
+            todo.extend((c, inside, marked) for c in reversed(at.children))
     flush()
     return out
 

@@ -197,3 +197,20 @@ def test_copies_are_no_templates(spark):
     assert {got[k] for k in range(10)} == {"Title of it\nSome text.\na\nb"}
     assert {got[20 + k] for k in range(6)} == {"Copied text.\nMore of it."} and got[30] == "Other."
     assert got[41] == got[71] == "Text 1."
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<body><nav>n</nav><div><article><p>First part of it.</p></article><article><p>Second.</p></article></div><footer>f</footer></body>", "First part of it.\nSecond."),
+    ("<body><main><h1>Title</h1><p>Lead</p><article><p>Long text of the article.</p></article></main><p>x</p></body>", "Title\nLead\nLong text of the article."),
+    ("<body><header>Site</header><h1>Title</h1><article><header>By me</header><p>Text.</p></article></body>", "Title\nBy me\nText."),
+    ("<body><header>Site</header><div class='post'>More than half of it.</div><div class='post'>Less than half.</div></body>", "More than half of it.\nLess than half."),
+])
+def test_no_part_is_lost(page, text):
+    assert "\n".join(htmltext.blocks(htmltext.parse(page), frozenset(), frozenset())) == text
+
+
+def test_recurring_parts_go(spark):
+    page = "<body><h1>Own {k}</h1><div>Subscribe now</div><article>Teaser</article><article><p>Text {k}.</p></article></body>"
+    rows = [(k, "https://a.example/", page.format(k=k)) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Own 3\nText 3."
