@@ -128,7 +128,7 @@ def difference_keys(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[bool, i
 
 
 def _stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, n (size of b's set), linked, d, outer (empty if linked), inner."""
+    """a, b, n (size of b's set), linked, d, outer, inner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +136,7 @@ def _stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for sa, sb in zip(batch.column(2), batch.column(3)):
                 x, y = (np.asarray(s.values).view(_U) for s in (sa, sb))
                 linked, d, outer, inner = difference_keys(x, y, percent)
-                rows.append((len(y), linked, d, outer.view(np.int64)[: 0 if linked else None], inner.view(np.int64)))
+                rows.append((len(y), linked, d, outer.view(np.int64), inner.view(np.int64)))
             n, linked, d, outer, inner = zip(*rows) if rows else ((),) * 5
             keys = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -177,15 +177,19 @@ def near_duplicates(
     sets = cut(full_sets(texts.join(involved, "doc_id", "left_semi"), width))
     stars = cut(_stars(pairs, sets, percent))
 
-    loose = stars.where("not linked").select("a", F.col("b").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.posexplode("outer").alias("i", "e"))
-    mates = stars.select("a", F.col("b").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.posexplode("inner").alias("j", "e"))
+    outer = stars.select("a", "linked", F.col("b").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.posexplode("outer").alias("i", "e"))
+    inner = stars.select("a", "linked", F.col("b").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.posexplode("inner").alias("j", "e"))
     # the sizes, the triangle inequality |x ^ y| >= dx - dy, and positions: behind the first element in common at i and j
     # there are no more than min(dx - i, dy - j), of which the overlap needs half of dx + dy - |x ^ y|
-    more = loose.join(mates, ["a", "e"]).where(
+    fits = (
         f"x <> y and (dx > dy or (dx = dy and x > y)) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
         f" and (100 + {percent}) * (dx - dy) <= (100 - {percent}) * (nx + ny)"
         f" and 2 * {100 + percent} * least(dx - i, dy - j) >= {100 + percent} * (dx + dy) - {100 - percent} * (nx + ny)"
     )
+    # either may be linked to the centre, and the linked one may differ more; two linked ones are joined through it
+    more = outer.where("not linked").drop("linked").join(inner.drop("linked"), ["a", "e"]).where(fits).select("x", "y").unionByName(
+        outer.where("linked").drop("linked").join(inner.where("not linked").drop("linked"), ["a", "e"]).where(fits).select("x", "y")
+    )
     more = more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     common = F.size(F.array_intersect("sa", "sb"))
     confirmed = _with_sets(more, sets).where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")

@@ -111,3 +111,16 @@ def test_components(spark, edges):
         up[max(x, y)] = min(x, y)
     got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {x: top(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_linked_member_that_differs_more(spark):
+    """Of centre 1, member 2 (linked) differs by 170 and 3 (not linked) by 169; 2 and 3 are linked."""
+    for salt in range(100):
+        base, more = [f"b{salt}x{k}" for k in range(1000)], [f"m{salt}x{k}" for k in range(170)]
+        least = min(base + more, key=lambda w: int(kernels.shingle_sets([w.encode()], 1)[0][0]))
+        if least in base[69:]:
+            break
+    rows = [(1, base), (2, base + more), (3, base[69:] + more[:100])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = minhash.near_duplicates(docs, bands=1, rows=1, width=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1}
