@@ -41,7 +41,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def words(buffer: bytes, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def words(buffer: bytes, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Hash and byte offset of every word of a buffer, in order."""
     raw = np.frombuffer(buffer, dtype=np.uint8)
     hashes, offsets, at = [], [], 0

@@ -1,16 +1,20 @@
 """Scoring texts by a weighted backoff automaton over words.
 
-States are the words of the training texts (as contexts) and the root; a state's arcs are its kept bigrams, discounted
-absolutely, and its failure arc leads to the root with the weight that the discount left.  The root's
-arcs are all training words, and one arc stands for any other.  A traversal goes left to right, carries the state and
-sums log-probabilities.  After a word the state is that word's, whatever came before, so a text's positions are
-traversed together as arrays.
-
-The model is never gathered in one place.  A shard is the texts of one input partition.  It sends the distinct words
-and word pairs that it holds, with their training counts, to buckets; a bucket sums its words over all shards and sends
-to each shard only the totals it asked for.  So a shard gets the part of the automaton that its own texts can reach,
-and its size is bounded by the shard's.  A context's pairs lie in one bucket, which knows the context's failure weight;
-only those of the most frequent words are dealt over all buckets, and their weights are summed for all shards at once.
+States are the n-grams of the training texts: the root, a state for each word and one for each pair of words.  A
+state's arcs are the tokens seen after it.  An arc of a state with count n, seen c times, and its failure arc have the weights that Dirichlet smoothing
+gives: the arc's probability is (c + m * p) / (n + m), where p is the probability of the same token in the state that
+the failure arc leads to, and a token without an arc has m / (n + m) * p.  A pair fails to its second word, a word to
+the root, whose arcs are all training words and one for any other.  The strengths m of both levels come from the
+counts: they are such that a state of average count expects as many new tokens as there are n-grams seen once.
+
+A traversal goes left to right and carries the state: after a token it is the longest state that the last two tokens
+make up, so it is known at every position beforehand, and the positions of many texts are traversed as arrays.
+
+The model is never gathered in one place.  Texts are read once and become shards of bounded size, which are kept as
+arrays of word numbers.  A shard sends the distinct n-grams of its own texts, with their training counts, to buckets by
+hash; a bucket sums them over all shards and returns to each shard the totals of what it sent, in the order in which
+they came.  So a shard gets the part of the automaton that its own texts can reach, no hash travels back, and a
+frequent n-gram comes to its bucket once from each shard, however hot it is.  The number of buckets follows the tokens.
 """
 
 from __future__ import annotations
@@ -20,41 +24,54 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kernels
-from quern.llm.common import arrow_batches, crc_mod, cut, text_slices
+from quern.llm.common import arrow_batches, crc_mod, cut, text_slices, worker_free
 
 _U = np.uint64
 #: What the end of a text counts under among the word hashes.
 END = int(kernels.mix(np.array([0x5151], dtype=_U))[0])
-_ROWS = "bucket int, shard int, keys binary, counts binary, contexts binary"
-_TOTALS = "kind string, shard int, keys binary, counts binary"
-#: Distinct keys that a task holds before it sends them on.
-_HELD = 2_000_000
+#: Text bytes of a shard (a longer text is a shard of its own), and keys that a bucket gets, about.
+SHARD_BYTES, BUCKET_KEYS = 8 << 20, 2_000_000
+#: Orders of n-grams, and the bytes of a key that travel: words in full; of longer ones what the bucket doesn't tell.
+ORDERS, KEY_BYTES = (1, 2, 3), (8, 5, 5)
+#: Shards of a task have numbers from partition << SHARD_BITS on.
+SHARD_BITS = 32
+
+_BLOCKS = "shard long, tokens long, doc_ids array<long>, learn binary, sizes binary, ids binary, vocabulary binary"
+_SENT = "bucket long, shard long, " + ", ".join(f"k{o} binary, c{o} binary" for o in ORDERS)
+_BACK = "bucket long, shard long, " + ", ".join(f"t{o} binary" for o in ORDERS) + ", stats array<long>"
+_SCORED = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 @dataclass(frozen=True)
 class Model:
-    """What every shard needs besides its own arcs; its size is bounded by the number of common contexts."""
+    """What every shard needs besides its own arcs."""
 
     tokens: int
     words: int
-    unknown: float  # probability of all words not seen
     discount: float
-    contexts: np.ndarray  # hashes of the contexts whose pairs are dealt over all buckets, sorted
-    mass: np.ndarray  # of each of these, the sum of its kept pairs' counts
-    kinds: np.ndarray  # and their number
-    pair_discount: float
+    strengths: tuple[float, float]  # of the states of one word and of two
+
+    @property
+    def unknown(self) -> float:
+        """Probability of all words not seen."""
+        return self.discount * self.words / self.tokens if self.tokens else 1.0
+
+
+def model_of(stats: np.ndarray) -> Model:
+    """The model's numbers from a row per order: n-grams counted, distinct ones, those seen once and twice."""
+    (tokens, words, once, twice), pairs, triples = (tuple(map(int, row)) for row in stats)
+    discount = once / (once + 2 * twice) if once and twice else 0.5
 
+    def strength(states: int, counted: int, single: int) -> float:
+        new = min(max(single / counted, 1e-3), 1 - 1e-3) if counted else 0.5
+        return counted / max(1, states) * new / (1 - new) or 1.0
 
-def _summed(keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-    out = keys[first], np.add.reduceat(counts, first) if len(first) else counts
-    return out if contexts is None else (*out, contexts[order[first]])
+    return Model(tokens, words, discount, (strength(words, pairs[0], pairs[2]), strength(pairs[1], triples[0], triples[2])))
 
 
 def _short(counts: np.ndarray) -> bytes:
@@ -65,276 +82,218 @@ def _short(counts: np.ndarray) -> bytes:
 
 def _long(raw: bytes, n: int) -> np.ndarray:
     """What _short() made of n counts."""
-    return np.frombuffer(raw, dtype=("<u1", "<u2", "<u4", "<i8")[(len(raw) // n).bit_length() - 1]).astype("<i8") if n else np.zeros(0, dtype="<i8")
-
-
-class _Holder:
-    """Distinct keys of a task with their training counts, and the contexts of pairs."""
-
-    def __init__(self, common: np.ndarray | None = None) -> None:
-        self.common, self.parts, self.size = common, [], 0
-
-    def add(self, *part: np.ndarray) -> None:
-        part = _summed(*part)
-        self.parts.append(part)
-        self.size += len(part[0])
-
-    def full(self) -> bool:
-        """Whether the keys, once merged, are too many to hold."""
-        if self.size > _HELD:
-            self.parts = [_summed(*map(np.concatenate, zip(*self.parts)))]
-            self.size = len(self.parts[0][0])
-            return 2 * self.size > _HELD
-        return False
-
-    def rows(self, shard: int, buckets: int) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        keys, counts, *contexts = _summed(*map(np.concatenate, zip(*self.parts)))
-        self.__init__(self.common)
-        dealt = keys
-        if contexts:
-            order = np.argsort(contexts[0], kind="stable")  # repeats side by side take little room
-            keys, counts, contexts = keys[order], counts[order], contexts[0][order]
-            dealt = np.where(_among(contexts, self.common) >= 0, keys, contexts)
-        where = (kernels.mix(dealt) % _U(buckets)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        bounds = np.searchsorted(where[order], np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(bounds))
-        parts = [order[bounds[b] : bounds[b + 1]] for b in full]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(full, pa.int32()),
-                pa.array(np.full(len(full), shard), pa.int32()),
-                pa.array([keys[p].tobytes() for p in parts], pa.binary()),
-                pa.array([_short(counts[p]) for p in parts], pa.binary()),
-                pa.array([contexts[p].tobytes() if len(contexts) else None for p in parts], pa.binary()),
-            ],
-            names=["bucket", "shard", "keys", "counts", "contexts"],
+    if not n:
+        return np.zeros(0, dtype="<i8")
+    return np.frombuffer(raw, dtype=("<u1", "<u2", "<u4", "<i8")[(len(raw) // n).bit_length() - 1]).astype("<i8")
+
+
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by the leading bits of a key, so that sorted keys have sorted buckets."""
+    return (((keys >> _U(40)) * _U(buckets)) >> _U(24)).astype(np.int64)
+
+
+def _read_keys(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
+    return out.reshape(-1).view("<u8")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Shards of (text, doc_id, learn) rows of about `most` bytes: which words stand where, as numbers by falling frequency."""
+    worker_free()
+    shard = TaskContext.get().partitionId() << SHARD_BITS
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    ids: list[pa.Array] = []
+    learn: list[np.ndarray] = []
+    size = 0
+
+    def block() -> pa.RecordBatch:
+        words = np.concatenate([h for h, _ in held])
+        sizes = np.concatenate([n for _, n in held])
+        found, where, counts = np.unique(words, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(found), dtype="<u4")
+        rank[order] = np.arange(len(found), dtype="<u4")
+        numbers = pa.compress(rank[where].tobytes(), codec="zstd", asbytes=True)
+        doc_ids = pa.chunked_array(ids).combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int64()), pa.array([len(words) + len(sizes)], pa.int64()),
+             pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids),
+             pa.array([np.concatenate(learn).astype(np.uint8).tobytes()], pa.binary()), pa.array([sizes.astype("<i8").tobytes()], pa.binary()),
+             pa.array([numbers], pa.binary()), pa.array([found[order].astype("<u8").tobytes()], pa.binary())],
+            names=["shard", "tokens", "doc_ids", "learn", "sizes", "ids", "vocabulary"],
         )
 
+    for batch in batches:
+        flags = np.asarray(batch.column(2).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
+        for first, raw in text_slices(batch.column(0)):
+            hashes, bounds = kernels.words_by_text(raw)
+            held.append((hashes, np.diff(bounds)))
+            ids.append(batch.column(1).slice(first, len(raw)))
+            learn.append(flags[first : first + len(raw)])
+            size += sum(map(len, raw))
+            if size >= most:
+                yield block()
+                held, ids, learn, size, shard = [], [], [], 0, shard + 1
+    if held:
+        yield block()
+
+
+class _Grams:
+    """The n-grams of a block: sorted distinct keys of each order, and positions that begin a text or follow one token."""
+
+    def __init__(self, learn: bytes, sizes: bytes, ids: bytes, vocabulary: bytes) -> None:
+        words = np.frombuffer(vocabulary, dtype="<u8")
+        self.sizes = np.frombuffer(sizes, dtype="<i8")
+        ends = np.cumsum(self.sizes + 1) - 1
+        self.starts = ends - self.sizes
+        n = int(self.sizes.sum())
+        is_end = np.zeros(n + len(ends), dtype=bool)
+        is_end[ends] = True
+        tokens = np.empty(len(is_end), dtype=np.int64)
+        tokens[is_end] = len(words)
+        tokens[~is_end] = np.frombuffer(pa.decompress(ids, decompressed_size=4 * n, codec="zstd"), dtype="<u4") if n else 0
+        hashes = np.concatenate([words, np.array([END], dtype=_U)])
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.words, self.tokens = hashes[order], place[tokens]  # a token's place among the sorted words
+        self.learn = np.repeat(np.frombuffer(learn, dtype=np.uint8).astype(bool), self.sizes + 1)
+        first, second = np.zeros(len(tokens), dtype=bool), np.zeros(len(tokens), dtype=bool)
+        first[self.starts] = True
+        second[(self.starts + 1)[self.sizes > 0]] = True
+        self.second = np.flatnonzero(~first)  # positions with a token before them
+        self.third = np.flatnonzero(~first & ~second)  # with two
+        with np.errstate(over="ignore"):
+            mixed = kernels.mix(self.words)
+            self.pairs = np.zeros(len(tokens), dtype=_U)
+            self.pairs[self.second] = kernels.mix(mixed[self.tokens[self.second - 1]] + self.words[self.tokens[self.second]])
+            self.triples = kernels.mix(kernels.mix(self.pairs[self.third - 1]) + self.words[self.tokens[self.third]])
+
+    def distinct(self, order: int) -> np.ndarray:
+        return self.words if order == 1 else np.unique(self.pairs[self.second] if order == 2 else self.triples)
+
+    def counted(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys, and how often each stands in training texts."""
+        keys = self.distinct(order)
+        if order == 1:
+            return keys, np.bincount(self.tokens[self.learn], minlength=len(keys))
+        learnt = np.sort(self.pairs[self.second[self.learn[self.second]]] if order == 2 else self.triples[self.learn[self.third]])
+        return keys, np.searchsorted(learnt, keys, "right") - np.searchsorted(learnt, keys, "left")
+
+
+def _sender(buckets: int):
+    """Blocks to rows of a bucket and a shard: keys in sorted order, and their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_free()
+        for batch in batches:
+            for row in batch.to_pylist():
+                grams = _Grams(row["learn"], row["sizes"], row["ids"], row["vocabulary"])
+                columns, full = [], np.zeros(buckets, dtype=bool)
+                for order, width in zip(ORDERS, KEY_BYTES):
+                    keys, counts = grams.counted(order)
+                    bounds = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
+                    full |= np.diff(bounds) > 0
+                    columns.append((keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width], counts, bounds))
+                del grams
+                some = np.flatnonzero(full).tolist()
+                for k in range(0, len(some), 256):
+                    part = some[k : k + 256]
+                    arrays = [pa.array(part, pa.int64()), pa.array([row["shard"]] * len(part), pa.int64())]
+                    for keys, counts, bounds in columns:
+                        arrays.append(pa.array([keys[bounds[b] : bounds[b + 1]].tobytes() for b in part], pa.binary()))
+                        arrays.append(pa.array([_short(counts[bounds[b] : bounds[b + 1]]) for b in part], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _SENT.split(", ")])
+
+    return run
+
+
+def _total(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A bucket's rows with the totals of their keys in place of the keys, and a last one with the bucket's statistics."""
+    worker_free()
+    shards = table.column("shard").to_pylist()
+    back, stats = [], []
+    for order, width in zip(ORDERS, KEY_BYTES):
+        keys = [_read_keys(k, width) for k in table.column(f"k{order}").to_pylist()]
+        counts = np.concatenate([_long(c, len(k)) for c, k in zip(table.column(f"c{order}").to_pylist(), keys)])
+        bounds = np.cumsum([0, *map(len, keys)])
+        found, where = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.bincount(where, weights=counts, minlength=len(found)).astype("<i8")
+        own = totals[where]
+        back.append([_short(own[i:j]) for i, j in zip(bounds[:-1], bounds[1:])] + [b""])
+        stats += [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())]
+    bucket = table.column("bucket")[0].as_py()
+    arrays = [pa.array([bucket] * (len(shards) + 1), pa.int64()), pa.array([*shards, -1], pa.int64())]
+    arrays += [pa.array(b, pa.binary()) for b in back] + [pa.array([None] * len(shards) + [stats], pa.list_(pa.int64()))]
+    return pa.Table.from_arrays(arrays, names=[c.split()[0] for c in _BACK.split(", ")])
+
+
+def _traverse(m: Model, buckets: int, block: dict, arcs: pa.Table) -> tuple[np.ndarray, ...]:
+    """Per text of a block: tokens, known tokens, base score, and the automaton's log10 probability."""
+    grams = _Grams(block["learn"], block["sizes"], block["ids"], block["vocabulary"])
+    arcs = arcs.sort_by("bucket")
+    at = arcs.column("bucket").to_numpy()
+
+    def totals(order: int, keys: np.ndarray) -> np.ndarray:
+        own = np.bincount(_bucket_of(keys, buckets), minlength=buckets)[at]
+        return np.concatenate([_long(raw, int(n)) for raw, n in zip(arcs.column(f"t{order}").to_pylist(), own)]).astype(np.float64)
+
+    c = totals(1, grams.words)[grams.tokens]
+    base = np.log10((c + 1) / (m.tokens + 1 * (m.words + 1)))
+    # the root's arcs, then those of the states of one word and of two where the text has such a state
+    p = np.where(c > 0, (c - m.discount) / max(1, m.tokens), m.unknown)
+    keys = grams.distinct(2)
+    pair = np.zeros(len(c))
+    if len(keys):
+        pair[grams.second] = totals(2, keys)[np.searchsorted(keys, grams.pairs[grams.second])]
+        s = m.strengths[0]
+        p[grams.second] = (pair[grams.second] + s * p[grams.second]) / (c[grams.second - 1] + s)
+    keys = grams.distinct(3)
+    if len(keys):
+        triple = totals(3, keys)[np.searchsorted(keys, grams.triples)]
+        s = m.strengths[1]
+        p[grams.third] = (triple + s * p[grams.third]) / (pair[grams.third - 1] + s)
+    logs = np.log10(np.minimum(p, 1.0))
+    starts = grams.starts
+    return grams.sizes + 1, np.add.reduceat(c > 0, starts, dtype=np.int64), np.add.reduceat(base, starts), np.add.reduceat(logs, starts)
 
-def _tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of texts, an end after each, and where each text's tokens begin."""
-    hashes, bounds = kernels.words_by_text(raw)
-    ends = bounds[1:] + np.arange(len(raw))
-    out = np.empty(len(hashes) + len(raw), dtype=_U)
-    is_end = np.zeros(len(out), dtype=bool)
-    is_end[ends] = True
-    out[is_end] = END
-    out[~is_end] = hashes
-    return out, np.concatenate([[0], ends + 1])
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Tokens, bounds, each token's text's training flag, and the shard, for the slices of (text, learn, shard)."""
-    learn = np.asarray(batch.column(1).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
-    for first, raw in text_slices(batch.column(0)):
-        tokens, bounds = _tokens(raw)
-        yield tokens, bounds, np.repeat(learn[first : first + len(raw)], np.diff(bounds)), batch.column(2)[first].as_py()
-
-
-def _totals(rows: DataFrame, least: int, kind: str, most: int = 0, common=None) -> DataFrame:
-    """Each shard's keys with their totals over all shards, if at least `least`, and statistics of each bucket.
-
-    Of words, the `most` largest totals too.  Of pairs, each shard's contexts with mass and kinds (the sum of their kept
-    pairs' counts, and the number) as `fail`; of the common contexts (a broadcast), the bucket's part of them as `mass`.
-    """
 
-    def total(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        out = []
-        parts = []
-        for shard, k, c, x in zip(*(table.column(i).to_pylist() for i in (1, 2, 3, 4))):
-            own = np.frombuffer(k, dtype="<u8")
-            parts.append((shard, own, _long(c, len(own)), np.frombuffer(x, dtype="<u8") if x else own))
-        keys, counts, contexts = _summed(*(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)))
-        for shard, own, _, _ in parts:
-            sums = counts[np.searchsorted(keys, own)]
-            some = sums >= least
-            if some.any():
-                out.append((kind, shard, own[some].tobytes(), _short(sums[some])))
-        if kind == "word":
-            stats = np.array([counts.sum(), (counts > 0).sum(), (counts == 1).sum(), (counts == 2).sum()], dtype="<i8")
-            out.append(("stats", -1, b"", stats.tobytes()))
-            top = np.argsort(-counts, kind="stable")[:most]
-            top = top[counts[top] > 1]
-            out.append(("top", -1, keys[top].tobytes(), counts[top].tobytes()))
-        else:
-            kept = counts >= least
-            found, where, n = np.unique(contexts[kept], return_inverse=True, return_counts=True)
-            mass = np.bincount(where, weights=counts[kept], minlength=len(found)).astype("<i8")
-            dealt = _among(found, common.value) >= 0
-            out.append(("mass", -1, found[dealt].tobytes(), np.concatenate([mass[dealt], n[dealt]]).astype("<i8").tobytes()))
-            found, mass, n = found[~dealt], mass[~dealt], n[~dealt]
-            for shard, _, _, own in parts:
-                at = _among(np.unique(own), found)
-                at = at[at >= 0]
-                if len(at):
-                    out.append(("fail", shard, found[at].tobytes(), _short(np.concatenate([mass[at], n[at]]))))
-        return pa.table(list(map(list, zip(*out))), schema=pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
-
-    return rows.groupBy("bucket").applyInArrow(total, _TOTALS)
-
-
-def _merged(totals: DataFrame, kind: str, buckets: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The rows of a kind, merged by workers to about the root of the number of buckets before the driver gets them.
-
-    `top` keeps the `most` largest counts of a group, `mass` and `stats` are added up; either way a row has a bounded size.
-    """
-    groups = max(1, int(np.sqrt(buckets)))
-
-    def merge(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, dtype="<u8") for k in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(c, dtype="<i8") for c in table.column("counts").to_pylist()]
-        if kind == "top":
-            k, c = np.concatenate(keys), np.concatenate(counts)
-            best = np.lexsort((k, -c))[:most]
-            k, c = k[best], c[best]
-        elif kind == "mass":
-            k, where = np.unique(np.concatenate(keys), return_inverse=True)
-            c = np.zeros(2 * len(k), dtype="<i8")
-            np.add.at(c, where, np.concatenate([x[: len(y)] for x, y in zip(counts, keys)]))
-            np.add.at(c, where + len(k), np.concatenate([x[len(y) :] for x, y in zip(counts, keys)]))
-        else:
-            k, c = keys[0], np.sum(counts, axis=0)
-        return pa.table({"keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([c.astype("<i8").tobytes()], pa.binary())})
-
-    own = totals.where(F.col("kind") == kind).select(F.pmod(F.xxhash64("keys", "counts"), F.lit(groups)).alias("g"), "keys", "counts")
-    rows = own.groupBy("g").applyInArrow(merge, "keys binary, counts binary").collect()
-    return [(np.frombuffer(r[0], dtype="<u8"), np.frombuffer(r[1], dtype="<i8")) for r in rows]
-
-
-def score(docs: DataFrame, learn: Column, contexts_bits: int = 13, least_pair: int = 2, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, learn: Column, buckets: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
-    docs is a table as read, so that a second scan deals its rows to partitions alike.  learn: which rows to learn
-    from; null counts as no.  A null text is empty: one token, the end.  Rows of one id are scored each by itself.  An
-    empty table gives no rows; with no row to learn from every token is unknown.
-
-    Every bigram of least_pair training occurrences or more is in the model.  contexts_bits: the pairs of so many
-    contexts, 2**bits, are dealt over all buckets; it doesn't change the scores.
+    learn: which rows to learn from; null counts as no.  A null text is empty: one token, the end.  Rows of one id are
+    scored each by itself, and repeated rows alike.  An empty table gives no rows; with no row to learn from every
+    token is unknown.  Other columns of docs are ignored, whatever their names.  buckets: by default as many as the
+    tokens need.  Neither that nor the size of a shard changes the scores.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    text = F.col("text").cast("string")
-    scanned = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.spark_partition_id().alias("shard"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    blocks = cut(rows.mapInArrow(lambda batches: _blocks(batches, shard_bytes), _BLOCKS))
     if buckets is None:
-        buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shard = _Holder(), -1
-        for batch in batches:
-            for tokens, _, learnt, shard in _slices(batch):
-                held.add(tokens, learnt.astype(np.int64))
-            if held.full():
-                yield from held.rows(shard, buckets)
-        yield from held.rows(shard, buckets)
-
-    sent = scanned.select("text", "learn", "shard").mapInArrow(words, _ROWS)
-    totals = cut(_totals(sent, 0, "word", 1 << contexts_bits))
-    stats = [c for _, c in _merged(totals, "stats", buckets, 0)]
-    tokens, distinct, once, two = (int(x) for x in np.sum(stats, axis=0)) if stats else (0, 0, 0, 0)
-    top = _merged(totals, "top", buckets, 1 << contexts_bits)
-    hashes = np.concatenate([k for k, _ in top]) if top else np.zeros(0, dtype=_U)
-    counts = np.concatenate([c for _, c in top]) if top else np.zeros(0, dtype=np.int64)
-    best = np.lexsort((hashes, -counts))[: 1 << contexts_bits]
-    contexts = np.sort(hashes[best])
-    shared_contexts = spark.sparkContext.broadcast(contexts)  # at most 2**contexts_bits numbers
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shard = _Holder(shared_contexts.value), -1
-        for batch in batches:
-            for tokens_, bounds, learnt, shard in _slices(batch):
-                where, keys = _pair_keys(tokens_, bounds)
-                held.add(keys, learnt[where].astype(np.int64), tokens_[where - 1])
-            if held.full():
-                yield from held.rows(shard, buckets)
-        yield from held.rows(shard, buckets)
-
-    pair_rows = scanned.select("text", "learn", "shard").mapInArrow(pairs, _ROWS)
-    pair_totals = cut(_totals(pair_rows, least_pair, "pair", common=shared_contexts))
-    mass, kinds = np.zeros(len(contexts)), np.zeros(len(contexts))
-    for k, c in _merged(pair_totals, "mass", buckets, 0):
-        np.add.at(mass, _among(k, contexts), c[: len(k)])
-        np.add.at(kinds, _among(k, contexts), c[len(k) :])
-    pair_discount = 0.75
-    discount = once / (once + 2 * two) if once and two else 0.5
-    unknown = discount * distinct / tokens if tokens else 1.0
-    model = spark.sparkContext.broadcast(Model(tokens, distinct, unknown, discount, contexts, mass, kinds, pair_discount))
+        tokens = blocks.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+        buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * tokens // BUCKET_KEYS)
+    sent = blocks.drop("doc_ids", "tokens").mapInArrow(_sender(buckets), _SENT)
+    totals = cut(sent.groupBy("bucket").applyInArrow(_total, _BACK))
+    # twelve sums come to the driver
+    found = totals.where("shard < 0").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(4 * len(ORDERS))]).first()
+    model = model_of(np.array([x or 0 for x in found], dtype=np.int64).reshape(len(ORDERS), 4))
 
     def traverse(_key: tuple[pa.Scalar, ...], texts: pa.Table, arcs: pa.Table) -> pa.Table:
-        m = model.value
-        table = {"word": [], "pair": [], "fail": [(m.contexts, np.stack([m.mass, m.kinds], axis=1))]}
-        for kind, k, c in zip(*(arcs.column(n).to_pylist() for n in ("kind", "keys", "counts"))):
-            k = np.frombuffer(k, dtype="<u8")
-            table[kind].append((k, _long(c, len(k)) if kind != "fail" else _long(c, 2 * len(k)).reshape(2, -1).T))
-        words_, pairs_, fails = (_distinct(x) for x in table.values())
-        out = []
-        for batch in texts.select(["text", "doc_id"]).to_batches(max_chunksize=512):
-            for first, raw in text_slices(batch.column(0)):
-                tokens_, bounds = _tokens(raw)
-                out.append(_scores(m, tokens_, bounds, *words_, *pairs_, *fails))
-        n, known, base, own = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0),) * 4
+        worker_free()
+        block = texts.to_pylist()[0]
+        n, known, base, own = _traverse(model, buckets, block, arcs)
+        flags = np.frombuffer(block["learn"], dtype=np.uint8).astype(bool)
         return pa.table(
-            [texts.column("doc_id"), texts.column("learn"), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-             pa.array(np.full(len(n), m.tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())],
-            names=["doc_id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            [pa.array(block["doc_ids"], pa.int64()), pa.array(flags), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
+             pa.array(np.full(len(n), model.tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())],
+            names=[c.split()[0] for c in _SCORED.split(", ")],
         )
 
-    arcs = totals.where("shard >= 0").unionByName(pair_totals.where("shard >= 0"))
-    scored = scanned.groupBy("shard").cogroup(arcs.groupBy("shard")).applyInArrow(
-        traverse,
-        "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
+    scored = blocks.groupBy("shard").cogroup(totals.where("shard >= 0").drop("stats").groupBy("shard")).applyInArrow(traverse, _SCORED)
     return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """A shard that sent a key more than once gets it back as often, with the same total."""
-    if not parts:
-        return np.zeros(0, dtype=_U), np.zeros(0)
-    keys, first = np.unique(np.concatenate([k for k, _ in parts]), return_index=True)
-    return keys, np.concatenate([c for _, c in parts])[first].astype(np.float64)
-
-
-def _among(tokens: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Where each token stands in a sorted array; -1 for those it doesn't have."""
-    if not len(found):
-        return np.full(len(tokens), -1)
-    at = np.minimum(np.searchsorted(found, tokens), len(found) - 1)
-    return np.where(found[at] == tokens, at, -1)
-
-
-def _pair_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions with a token before them in their text, and the keys of the pairs: a hash of both, in order."""
-    begins = np.zeros(len(tokens), dtype=bool)
-    begins[bounds[:-1]] = True  # a text begins at the root
-    where = np.flatnonzero(~begins)
-    with np.errstate(over="ignore"):
-        return where, kernels.mix(kernels.mix(tokens[where - 1]) + tokens[where])
-
-
-def _scores(m: Model, tokens, bounds, word_keys, word_counts, pair_keys, pair_counts, fail_keys, fails):
-    """Per text: tokens, known tokens, base score, and the automaton's log10 probability."""
-    at = np.searchsorted(word_keys, tokens)
-    if len(at) and (at.max() >= len(word_keys) or (word_keys[at] != tokens).any()):
-        raise RuntimeError("a shard holds a word that it did not ask for: docs must be a table as read")
-    c = word_counts[at]
-    base = np.log10((c + 1) / (m.tokens + 1 * (m.words + 1)))
-    total = max(1, m.tokens)
-    root = np.where(c > 0, (c - m.discount) / total, m.unknown)
-    where, keys = _pair_keys(tokens, bounds)
-    p, seen = root.copy(), np.maximum(c[where - 1], 1)
-    j = _among(tokens[where - 1], fail_keys)
-    own = j >= 0
-    p[where[own]] *= 1.0 - (fails[j[own], 0] - m.pair_discount * fails[j[own], 1]) / seen[own]
-    j = _among(keys, pair_keys)
-    own = j >= 0
-    p[where[own]] += (pair_counts[j[own]] - m.pair_discount) / seen[own]
-    logs = np.log10(np.minimum(p, 1.0))
-    starts = bounds[:-1]
-    return np.diff(bounds), np.add.reduceat(c > 0, starts, dtype=np.int64), np.add.reduceat(base, starts), np.add.reduceat(logs, starts)
-
-
 def trainable(doc_id: Column, left_out: int = 2, of: int = 7) -> Column:
     return crc_mod(doc_id, of) != left_out

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -47,34 +48,74 @@ def test_odd_languages(spark, odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.training_sample(odd)).collect()} <= {"en", "de", "fr", "und"}
 
 
-def test_scores_against_brute_force(docs):
-    rows = {r["doc_id"]: r for r in langmodel.score(docs, langmodel.trainable(F.col("doc_id"))).collect()}
-    texts = {r["doc_id"]: WORD.findall(r["text"].translate(LOWER)) + [None] for r in docs.collect()}
-    learn = {i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2}
-    count = Counter(w for i in learn for w in texts[i])
-    n, v = sum(count.values()), len(count)
-    once, two = (sum(c == k for c in count.values()) for k in (1, 2))
-    d = once / (once + 2 * two)
-    pairs = Counter(p for i in learn for p in zip(texts[i], texts[i][1:]))
-    pairs = {p: c for p, c in pairs.items() if c >= 2 and count[p[0]] > 1 and count[p[1]] > 1}
-    left = {}
-    for (a, _), c in pairs.items():
-        left[a] = left.get(a, 1.0) - (c - 0.75) / count[a]
-    gain = 0.0
-    few = sum(c > 1 for c in count.values()) <= 1 << 13
+def automaton_scores(texts, learn):
+    """{id: (n_tokens, n_known, N, base, score)} of {id: tokens}, every n-gram counted by a dictionary."""
+    grams = [Counter(tuple(texts[i][k : k + o]) for i in learn for k in range(len(texts[i]) - o + 1)) for o in (1, 2, 3)]
+    one, two, three = grams
+    n, v = sum(one.values()), len(one)
+    once, twice = (sum(c == k for c in one.values()) for k in (1, 2))
+    d = once / (once + 2 * twice) if once and twice else 0.5
+
+    def strength(states, counted):
+        total = sum(counted.values())
+        new = min(max(sum(c == 1 for c in counted.values()) / total, 0.001), 0.999) if total else 0.5
+        return total / max(1, states) * new / (1 - new) or 1.0
+
+    a, b = strength(len(one), two), strength(len(two), three)
+    out = {}
     for i, w in texts.items():
-        base = sum(math.log10((count[x] + 1) / (n + 1 * (v + 1))) for x in w)
-        r = rows[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i not in learn, len(w), sum(count[x] > 0 for x in w), n)
-        assert abs(r["base_score"] - base) < 1e-6 * abs(base)
-        if few:
-            own = 0.0
-            for a, b in zip([0, *w], w):
-                root = (count[b] - d) / n if count[b] else d * v / n
-                own += math.log10(left.get(a, 1.0) * root + ((pairs[a, b] - 0.75) / count[a] if (a, b) in pairs else 0.0))
-            assert abs(r["score"] - own) < 1e-6 * abs(own)
-        gain += (r["score"] - base) * (i not in learn)
-    assert gain > 0
+        base = own = 0.0
+        for k, x in enumerate(w):
+            base += math.log10((one[x,] + 1) / (n + 1 * (v + 1)))
+            p = (one[x,] - d) / n if one[x,] else (d * v / n if n else 1.0)
+            if k > 0:
+                p = (two[w[k - 1], x] + a * p) / (one[w[k - 1],] + a)
+            if k > 1:
+                p = (three[w[k - 2], w[k - 1], x] + b * p) / (two[w[k - 2], w[k - 1]] + b)
+            own += math.log10(min(p, 1.0))
+        out[i] = (len(w), sum(one[x,] > 0 for x in w), n, base, own)
+    return out
+
+
+def words_of(text):
+    return WORD.findall((text or "").translate(LOWER)) + [None]
+
+
+def agree(row, want):
+    assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == want[:3]
+    assert abs(row["base_score"] - want[3]) <= 1e-9 * abs(want[3]) and abs(row["score"] - want[4]) <= 1e-9 * abs(want[4])
+
+
+@pytest.mark.parametrize("shard,buckets", [(8 << 20, None), (20_000, 3)])
+def test_scores_against_brute_force(docs, shard, buckets):
+    rows = {r["doc_id"]: r for r in langmodel.score(docs, langmodel.trainable(F.col("doc_id")), buckets, shard).collect()}
+    texts = {r["doc_id"]: words_of(r["text"]) for r in docs.collect()}
+    learn = {i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2}
+    want = automaton_scores(texts, learn)
+    assert rows.keys() == want.keys() and all(rows[i]["held_out"] == (i not in learn) for i in rows)
+    for i in rows:
+        agree(rows[i], want[i])
+    held = [r for r in rows.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_probabilities_sum_to_one(spark):
+    """Of all continuations of a state, seen or not, unseen words being one of them."""
+    texts = ["a b a c a b", "b a b", "", "c", "a a a b"]
+    ends = ["", "a", "a b", "b a", "z a", "a z", "c c"]
+    words = ["a", "b", "c", "z"]
+    probes = [(e, w) for e in ends for w in [*words, None]]
+    rows = [(k, t, True) for k, t in enumerate(texts)] + [(100 + k, " ".join(x for x in [*e.split(), w] if x), False) for k, (e, w) in enumerate(probes)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    got = {r["doc_id"]: r["score"] for r in langmodel.score(frame, F.col("learn")).collect()}
+    model = automaton_scores({i: words_of(t) for i, t, _ in rows}, {i for i, _, l in rows if l})
+    for i in got:
+        assert abs(got[i] - model[i][4]) < 1e-9
+    # P(state, w, end) over w and the end itself, divided by the end after w, must give P(state)
+    one = automaton_scores({("p", e, w): [*e.split(), *([w] if w else [None])] for e, w in probes} | {("s", e): e.split() for e in ends} | {i: words_of(t) for i, t, l in rows if l}, {i for i, _, l in rows if l})
+    for e in ends:
+        total = sum(10 ** one["p", e, w][4] for w in [*words, None])
+        assert abs(total - 10 ** one["s", e][4]) < 1e-9
 
 
 def test_odd_scores(spark, odd, none, tmp_path):
@@ -87,25 +128,5 @@ def test_odd_scores(spark, odd, none, tmp_path):
     assert langmodel.score(spark.read.parquet(f"{tmp_path}/none"), langmodel.trainable(F.col("doc_id"))).collect() == []
     untrained = langmodel.score(table, F.lit(False)).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in untrained)
-
-
-def test_every_repeated_bigram_counts(spark, tmp_path):
-    """More repeated words than are dealt over all buckets, each of them in two repeated bigrams."""
-    texts = [" ".join(f"w{k}" for k in range(a, a + 200)) for a in range(0, 10_000, 200)] * 2
-    texts += ["w9998 w9999 w9997", "the w1 the w2 the w1"] * 2
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
-    table = spark.read.parquet(f"{tmp_path}/docs")
-    got = {r["doc_id"]: r["score"] for r in langmodel.score(table, F.lit(True)).collect()}
-    words = [[*t.split(), None] for t in texts]
-    count, pairs = Counter(w for t in words for w in t), Counter(p for t in words for p in zip(t, t[1:]))
-    n, pairs = sum(count.values()), {p: c for p, c in pairs.items() if c >= 2}
-    left = {a: 1.0 for a in count}
-    for (a, _), c in pairs.items():
-        left[a] -= (c - 0.75) / count[a]
-    for i, t in enumerate(words):
-        own = math.log10((count[t[0]] - 0.5) / n)  # no word is seen once, so 0.5 is discounted
-        for a, b in zip(t, t[1:]):
-            own += math.log10(left[a] * (count[b] - 0.5) / n + ((pairs[a, b] - 0.75) / count[a] if (a, b) in pairs else 0.0))
-        assert abs(got[i] - own) < 1e-6 * abs(own)
-    few = langmodel.score(table, F.lit(True), contexts_bits=2, buckets=3).collect()
-    assert all(abs(r["score"] - got[r["doc_id"]]) < 1e-9 * abs(got[r["doc_id"]]) for r in few)
+    for r in langmodel.score(spark.createDataFrame([(1, "a b a"), (1, "a b a"), (2, "a")], "doc_id long, text string"), F.lit(True)).collect():
+        agree(r, automaton_scores({0: words_of("a b a"), 1: words_of("a b a"), 2: words_of("a")}, {0, 1, 2})[0 if r["doc_id"] == 1 else 2])
