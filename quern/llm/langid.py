@@ -1,11 +1,13 @@
 """Language identification by cross-parsing entropy.
 
-Each language's labelled sample becomes a suffix automaton.  A text is parsed into phrases, each the longest that the
-automaton still recognises; its cost in a language is phrases * log2(sample size) / letters, the Ziv-Merhav estimate
-of cross entropy, and the language of least cost wins.  Phrases don't span words (a word is parsed with its two
-boundary marks), so a word's phrase counts are computed once per worker and then looked up.
+Each language's labelled sample, running text, becomes a suffix automaton.  A text is parsed from its first letter to
+its last into phrases, each the longest that the automaton still recognises, across words; its cost in a language is
+phrases * log2(sample size) / letters, the Ziv-Merhav estimate of cross entropy, and the language of least cost wins.
+Texts and samples are lower-cased, and whatever isn't a letter is one blank.  A phrase also ends after every STRETCH
+characters, so the stretches of many texts, long ones too, are walked together as arrays on one table of transitions.
 """
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -15,10 +17,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_batches, crc_mod
+from quern.llm.common import arrow_batches, crc_mod, worker_held
 
-_LETTERS = regex.compile(r"\p{L}+")
+_OTHER = regex.compile(r"\P{L}+")
 UNKNOWN = "und"
+#: Characters after which a phrase ends at the latest.
+STRETCH = 2048
 
 
 class SuffixAutomaton:
@@ -103,101 +107,116 @@ def phrase_count(start: dict, string: str) -> int:
     return n + (at is not start)
 
 
+def normalised(text: str) -> str:
+    """Lower-case letters, a blank at both ends and for each run of anything else."""
+    return _OTHER.sub(" ", f" {text.lower()} ")
+
+
 class CrossParser:
-    """Phrase counts of words in all languages of a model {language: sample words}."""
+    """Phrase counts of texts in all languages of a model {language: sample passages}."""
 
-    def __init__(self, model: dict[str, list[str]], cached_tokens: int = 800_000) -> None:
+    def __init__(self, model: dict[str, list[str]], most_cells: int = 16_000_000) -> None:
         self.languages = sorted(model)
         automata = []
         for name in self.languages:
             automaton = SuffixAutomaton()
-            for word in model[name]:
-                automaton.add(f" {word} ")
+            for passage in model[name]:
+                automaton.add(normalised(passage))
             automata.append(automaton)
         self.bits = np.array([math.log2(max(2, a.size)) for a in automata])
-        self.starts = [a.linked() for a in automata]
-        self.most = cached_tokens
-        self._forget()
-
-    def _forget(self) -> None:
-        """An empty cache.  A row has a word's letters and its phrases in each language; row 0 is for tokens without letters."""
-        self.table = np.zeros((1024, 1 + len(self.languages)), dtype=np.int64)
-        self.fresh: list[list[int]] = [[0] * (1 + len(self.languages))]
-        self.done = 0
-        self.words: dict[str, int] = {}
-        self.tokens = _Rows(self)
-
-    def _add(self, counts: list[int]) -> int:
-        self.fresh.append(counts)
-        return self.done + len(self.fresh) - 1
-
-    def _word(self, word: str) -> int:
-        row = self.words.get(word)
-        if row is None:
-            marked = f" {word} "
-            row = self.words[word] = self._add([len(word), *(phrase_count(start, marked) for start in self.starts)])
-        return row
-
-    def row(self, token: str) -> int:
-        """The cache row of a white-space token."""
-        parts = _LETTERS.findall(token.lower())
-        if len(parts) == 1:
-            return self._word(parts[0])
-        rows = [self._word(p) for p in parts]
-        if not rows:
-            return 0
-        self._settle()
-        return self._add(self.table[rows].sum(axis=0).tolist())
-
-    def _settle(self) -> None:
-        """Move fresh rows into the table."""
-        total = self.done + len(self.fresh)
-        if total > len(self.table):
-            grown = np.zeros((2 * total, self.table.shape[1]), dtype=np.int64)
-            grown[: self.done] = self.table[: self.done]
-            self.table = grown
-        if self.fresh:
-            self.table[self.done : total] = self.fresh
-            self.done, self.fresh = total, []
-
-    def costs(self, tokens: list[str]) -> tuple[int, np.ndarray]:
-        """Letters of a text, and its cost in every language."""
-        total = np.zeros(1 + len(self.languages), dtype=np.int64)
-        for i in range(0, len(tokens), 100_000):
-            if len(self.tokens) > self.most:
-                self._forget()
-            part = tokens[i : i + 100_000]
-            index = np.fromiter(map(self.tokens.__getitem__, part), dtype=np.int64, count=len(part))
-            self._settle()
-            total += self.table[index].sum(axis=0)
-        return int(total[0]), total[1:] * self.bits / max(1, int(total[0]))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        letters, cost = self.costs((text or "").split())
-        if not letters or not self.languages:
-            return UNKNOWN, 0.0
-        order = np.argsort(cost, kind="stable")  # ties: the first language by name
-        best = float(cost[order[0]])
-        second = float(cost[order[1]]) if len(order) > 1 else math.inf
-        return self.languages[order[0]], (1.0 - best / second if second > 0 else 0.0)
-
-
-class _Rows(dict):
-    """Token to cache row, filled on first use."""
-
-    def __init__(self, parser: CrossParser) -> None:
-        self.parser = parser
-
-    def __missing__(self, token: str) -> int:
-        self[token] = row = self.parser.row(token)
-        return row
-
-
-def training_sample(docs: DataFrame, docs_per_language: int = 300, words_per_language: int = 8000) -> dict[str, list[str]]:
-    """{language: its most frequent sample words}, from at most that many documents and words of each language.
-
-    Both numbers bound what the driver gets, whatever the input.  The documents of a language are those of least
-    id hash; a count per language and a threshold keep all but about twice as many from being ranked.
+        alphabet = sorted({symbol for a in automata for symbol in a.next[0]} | {" "})
+        cells = sum(len(a.next) for a in automata) * (len(alphabet) + 1)
+        self.table, self.starts = None, []
+        if cells <= most_cells:
+            self._tabulate(automata, alphabet)
+        else:  # a large alphabet: the same phrases, one text after the other
+            self.starts = [a.linked() for a in automata]
+
+    def _tabulate(self, automata: list[SuffixAutomaton], alphabet: list[str]) -> None:
+        """One row per state, one cell per symbol: where it leads (a row's first cell) and the phrases that end with it."""
+        width = len(alphabet) + 1  # blank first, letters that no sample has last
+        code = {symbol: k for k, symbol in enumerate(alphabet)}
+        self.code = np.fromiter((width - 1 if chr(c).isalpha() else 0 for c in range(0x110000)), dtype=np.uint16, count=0x110000)
+        self.code[[ord(symbol) for symbol in alphabet]] = np.arange(len(alphabet))
+        rows = np.cumsum([0, *(len(a.next) for a in automata)])
+        self.table = np.empty((rows[-1], width), dtype=np.int32)
+        self.roots = (rows[:-1] * width).astype(np.int32)
+        for automaton, first, root in zip(automata, rows.tolist(), self.roots.tolist()):
+            begin = np.full(width, root + (1 << 28), dtype=np.int32)  # an unknown symbol is a phrase by itself
+            for symbol, to in automaton.next[0].items():
+                begin[code[symbol]] = (first + to) * width
+            part = self.table[first : first + len(automaton.next)]
+            part[:] = begin + (1 << 28)  # a phrase ends and another begins
+            part[0] = begin
+            edges = [(state, code[symbol], (first + to) * width) for state, e in enumerate(automaton.next) for symbol, to in e.items()]
+            state, symbol, to = np.array(edges, dtype=np.int64).reshape(-1, 3).T
+            part[state, symbol] = to
+        self.table = self.table.reshape(-1)
+
+    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of each text, and its cost in every language (a row per text)."""
+        letters, phrases = self._walked(texts) if self.table is not None else self._one_by_one(texts)
+        return letters, phrases * self.bits / np.maximum(1, letters)[:, None]
+
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        bare = [normalised(t) for t in texts]
+        letters = np.array([len(b) - b.count(" ") for b in bare], dtype=np.int64)
+        counts = [[sum(phrase_count(s, b[k : k + STRETCH]) for k in range(0, len(b), STRETCH)) for s in self.starts] for b in bare]
+        return letters, np.array(counts, dtype=np.int64).reshape(len(texts), len(self.starts))
+
+    def _walked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lowered = [f" {t.lower()} " for t in texts]
+        sizes = np.array([len(t) for t in lowered], dtype=np.int64)
+        joined = "".join(lowered).encode("utf-32-le", "surrogatepass")
+        symbols = self.code[np.frombuffer(joined, dtype="<u4")]
+        blank = symbols == 0
+        begins = np.cumsum(sizes) - sizes
+        keep = np.ones(len(symbols), dtype=bool)
+        keep[1:] = ~(blank[1:] & blank[:-1])
+        keep[begins] = True  # one blank at the start of each text, whatever ends the text before it
+        sizes = np.add.reduceat(keep, begins, dtype=np.int64)
+        letters = np.add.reduceat(~blank, begins, dtype=np.int64)
+        symbols = symbols[keep]
+        begins = np.cumsum(sizes) - sizes
+        # stretches, the longest first, so that those still under way are the first ones
+        many = -(-sizes // STRETCH)
+        owner = np.repeat(np.arange(len(texts)), many)
+        turn = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        start = begins[owner] + turn * STRETCH
+        length = np.minimum(STRETCH, sizes[owner] - turn * STRETCH)
+        order = np.argsort(-length, kind="stable")
+        owner, start, length = owner[order], start[order], length[order]
+        left = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
+        at = np.repeat(self.roots[:, None], len(owner), axis=1)
+        phrases = np.zeros(at.shape, dtype=np.int64)
+        for step, n in enumerate(left.tolist()):
+            moved = self.table.take(at[:, :n] + symbols[start[:n] + step])
+            at[:, :n] = moved & ((1 << 28) - 1)
+            phrases[:, :n] += moved >> 28
+        phrases += at != self.roots[:, None]
+        out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
+        np.add.at(out, owner, phrases.T)
+        return letters, out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not texts or not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        letters, costs = self.costs([t or "" for t in texts])
+        order = np.argsort(costs, axis=1, kind="stable")  # ties: the first language by name
+        best = np.take_along_axis(costs, order[:, :1], axis=1)[:, 0]
+        second = np.take_along_axis(costs, order[:, 1:2], axis=1)[:, 0] if len(self.languages) > 1 else np.full(len(texts), math.inf)
+        score = np.where(second > 0, 1.0 - best / np.where(second > 0, second, 1.0), 0.0)
+        return [(self.languages[k], float(x)) if n else (UNKNOWN, 0.0) for k, x, n in zip(order[:, 0], score, letters)]
+
+
+def training_sample(
+    docs: DataFrame, docs_per_language: int = 300, passages_per_language: int = 200, words: int = 40, longest: int = 1000
+) -> dict[str, list[str]]:
+    """{language: passages}, from at most so many labelled documents of each language and so many passages of them.
+
+    A passage is a run of `words` words of a text, no longer than `longest`.  These numbers bound what the driver gets,
+    whatever the input.  The documents of a language are those of least id hash, their passages those of least hash; a
+    count per language and a threshold keep all but about twice as many documents from being ranked.
     """
     labelled = docs.where("doc_id is not null and lang is not null and text is not null")
     place = (F.xxhash64("doc_id").cast("double") / 2.0**64) + 0.5
@@ -209,24 +228,30 @@ def training_sample(docs: DataFrame, docs_per_language: int = 300, words_per_lan
     near = labelled.where(place < share[F.col("lang")])
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")))
     sample = ranked.where(F.col("r") <= docs_per_language)
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    letters = sample.select("lang", F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(words)), lambda i: F.array_join(F.slice("w", i, F.lit(words)), " "))
+    passages = letters.select("lang", F.explode(runs).alias("passage")).where(F.length("passage") <= longest).distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("passage"), "passage")
+    best = passages.withColumn("r", F.row_number().over(order)).where(F.col("r") <= passages_per_language)
     model: dict[str, list[str]] = {}
-    for lang, word in top.where(F.col("r") <= words_per_language).orderBy("lang", "r").select("lang", "word").collect():
-        model.setdefault(lang, []).append(word)
+    for lang, passage in best.orderBy("lang", "r").select("lang", "passage").collect():
+        model.setdefault(lang, []).append(passage)
     return model
 
 
-_parsers: dict[str, CrossParser] = {}
-
-
-def worker_parser(key: str, model: dict[str, list[str]]) -> CrossParser:
-    """The worker's parser of a model; a module's function is pickled by reference, so tasks of a worker share it."""
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(model)
-    return _parsers[key]
+def _slices(texts: pd.Series, most: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Runs of texts of about so many characters; a longer one is alone."""
+    held: list[str | None] = []
+    size = 0
+    for text in texts:
+        n = len(text or "")
+        if held and size + n > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += n
+    if held:
+        yield held
 
 
 def identify(docs: DataFrame, model: dict[str, list[str]]) -> DataFrame:
@@ -236,13 +261,16 @@ def identify(docs: DataFrame, model: dict[str, list[str]]) -> DataFrame:
     best cost lies below the second, as a share of the second: 0 for a tie, 1 with a single language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = str(hash(tuple((k, *v) for k, v in sorted(model.items()))))
+    key = "parser " + hashlib.sha256(repr(sorted(model.items())).encode("utf-8", "surrogatepass")).hexdigest()
 
     @F.pandas_udf("lang_pred string, score double")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        parser = worker_parser(key, shared.value)
+        parser = worker_held(key, lambda: CrossParser(shared.value))
         for texts in batches:
-            yield pd.DataFrame([parser.predict(t) for t in texts], columns=["lang_pred", "score"])
+            found: list[tuple[str, float]] = []
+            for part in _slices(texts):
+                found += parser.predict(part)
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     arrow_batches(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score", "quern_parse")]

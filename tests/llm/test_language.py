@@ -29,6 +29,46 @@ def test_automaton_gives_longest_matches(words, text):
     assert langid.phrase_count(automaton.linked(), text) == len(want)
 
 
+def longest(text, passages):
+    """Phrases by trying every length, and their number; sample is searched as plain text."""
+    sample, at, n = "\x00".join(passages), 0, 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
+def plain_letters(text):
+    return "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+
+
+def test_predictions_against_brute_force(spark, docs):
+    """lang_pred and score of every text, from phrases found by search in the sample itself."""
+    model = langid.training_sample(langid.trainable(docs), docs_per_language=40, passages_per_language=30)
+    samples = {lang: [" ".join(plain_letters(p).split()) for p in passages] for lang, passages in model.items()}
+    samples = {lang: [f" {p} " for p in passages] for lang, passages in samples.items()}
+    some = docs.where(F.length("text") < 6000)
+    for r in langid.identify(some.select("doc_id", "text"), model).collect():
+        text = " " + "".join(f"{w} " for w in plain_letters(r["text"]).split())
+        letters = len(text.replace(" ", ""))
+        stretches = [text[k : k + langid.STRETCH] for k in range(0, len(text), langid.STRETCH)]
+        costs = sorted((sum(longest(t, s) for t in stretches) * math.log2(sum(map(len, s))) / max(1, letters), lang) for lang, s in samples.items())
+        want = (costs[0][1], 1 - costs[0][0] / costs[1][0]) if letters else ("und", 0.0)
+        assert r["lang_pred"] == want[0] and abs(r["score"] - want[1]) < 1e-12
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abcé .\n", max_size=40), max_size=4), st.lists(st.text("abcdéÉİ, \x00漢", max_size=5000), min_size=1, max_size=5))
+def test_tables_and_dictionaries_agree(passages, texts):
+    model = {"x": passages, "y": passages[:1], "z": []}
+    one, other = langid.CrossParser(model), langid.CrossParser(model, most_cells=0)
+    assert one.table is not None and other.table is None
+    for a, b in zip(one.costs(texts), other.costs(texts)):
+        assert (a == b).all()
+
+
 def test_held_out_accuracy(spark, docs):
     model = langid.training_sample(langid.trainable(docs))
     rows = langid.identify(docs.select("doc_id", "text", F.col("lang").alias("true")), model).collect()
