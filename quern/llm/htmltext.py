@@ -365,7 +365,7 @@ def extract(pages: DataFrame, **parameters) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    arrow_batches(pages.sparkSession, 256)
+    arrow_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     templates = cut(host_templates(rows, **parameters))
     rows = rows.withColumn("host", host(F.col("url")))

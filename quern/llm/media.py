@@ -33,7 +33,7 @@ def encoded(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "media"],
             )
 
-    arrow_batches(docs.sparkSession, 256)
+    arrow_batches(docs.sparkSession, 256, 2 << 20)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, n_bytes long, media binary"
     )

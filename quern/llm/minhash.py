@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kernels
-from quern.llm.common import arrow_batches, cut, text_slices
+from quern.llm.common import arrow_batches, cut, text_slices, worker_free
 from quern.llm.components import connected
 
 _U = np.uint64
@@ -62,6 +62,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = 5) -> DataFr
     """doc_id, n_shingles, digest (of the whole shingle set; null if empty), keys (one bucket key per band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_free()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for first, raw in text_slices(texts):
@@ -89,6 +90,7 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, shingles (sorted as unsigned, distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_free()
         for batch in batches:
             for first, raw in text_slices(batch.column(1)):
                 sets = kernels.shingle_sets(raw, width)
@@ -131,6 +133,7 @@ def _stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, n (size of b's set), linked, d, outer, inner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_free()
         for batch in batches:
             rows = []
             for sa, sb in zip(batch.column(2), batch.column(3)):

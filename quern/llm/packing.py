@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_batches, text_slices
+from quern.llm.common import arrow_batches, text_slices, worker_held
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -41,14 +41,23 @@ class WordTokenizer:
     the library's own way as a whole.
     """
 
-    def __init__(self, definition: str, cached_words: int = 1_200_000) -> None:
+    def __init__(self, definition: str, cached_bytes: int = 96 << 20) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.most = cached_words
+        self.most = cached_bytes
+        self._forget()
+
+    def _forget(self) -> None:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.size = 0
+
+    def _hold(self, into: dict[str, bytes], found: dict[str, bytes]) -> None:
+        """Add entries to a cache; an entry takes its string (four bytes a character at worst), its ids and about 200 bytes."""
+        into.update(found)
+        self.size += 200 * len(found) + sum(len(k) if k.isascii() else 4 * len(k) for k in found) + sum(map(len, found.values()))
 
     def _encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -60,10 +69,10 @@ class WordTokenizer:
             ids, owner = np.array(found.ids, dtype="<u4"), np.array(found.word_ids, dtype=np.int64)
             bounds = np.searchsorted(owner, np.arange(len(part) + 1))
             if len(owner) and (owner[-1] != len(part) - 1 or (np.diff(owner) < 0).any() or not np.diff(bounds).all()):
-                self.pieces.update((p, self._encoded(p).tobytes()) for p in part)
+                self._hold(self.pieces, {p: self._encoded(p).tobytes() for p in part})
                 continue
             raw = ids.tobytes()
-            self.pieces.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(part, bounds[:-1].tolist(), bounds[1:].tolist()))
+            self._hold(self.pieces, {p: raw[4 * i : 4 * j] for p, i, j in zip(part, bounds[:-1].tolist(), bounds[1:].tolist())})
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = []
@@ -72,16 +81,14 @@ class WordTokenizer:
             odd = "<|" in text or (not text.isascii() and _ODD.search(text)) or any(c in text for c in "\x1c\x1d\x1e\x1f")
             out.append(self._encoded(text) if odd else None)
             split.append([] if odd else text.lower().split())
-        if len(self.words) > self.most:
-            self.words.clear()
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
+        if self.size > self.most:
+            self._forget()
         found = [list(map(self.words.get, w)) for w in split]
         new = {w for f, all_ in zip(found, split) if None in f for w, ids in zip(all_, f) if ids is None}
         parts = {w: _PIECES.findall(w) for w in new}
         self._learn(list({p for some in parts.values() for p in some if p not in self.pieces}))
         piece = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(piece, p))) for w, p in parts.items())
+        self._hold(self.words, {w: b"".join(map(piece, p)) for w, p in parts.items()})
         word = self.words.__getitem__
         joined = (b"".join(map(word, w) if None in f else f) for f, w in zip(found, split))
         return [np.frombuffer(j, dtype="<u4") if o is None else o for o, j in zip(out, joined)]
@@ -217,30 +224,21 @@ class Packer:
         return out
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def worker_tokenizer(path: str, definition: str) -> WordTokenizer:
-    """The worker's tokenizer; a module's function is pickled by reference, so tasks of a worker share it and its cache."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(definition)
-    return _tokenizers[path]
-
-
 def pack(
     docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, pool: int = 128, set_aside: float = 0.06
 ) -> DataFrame:
     """The pieces of docs (doc_id, text; other columns are ignored), see SCHEMA; every id lies in exactly one piece.
 
     A null or empty text is the end id alone.  Rows of one id are packed as documents of their own.  An empty table
-    gives no rows.  tokenizer_path is read by the driver; workers get the file's content.  pool and set_aside (the
+    gives no rows.  Columns of docs with the result's names are not read.  tokenizer_path is read by the driver; workers
+    get the file's content.  pool and set_aside (the
     share of a pool's tokens that fills gaps) bound a task's memory and trade cuts against padding.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = worker_tokenizer(tokenizer_path, shared.value)
+        tokenizer = worker_held(f"tokenizer {tokenizer_path}", lambda: WordTokenizer(shared.value))
         packer = Packer(capacity, pool, set_aside, TaskContext.get().partitionId() << SEQUENCE_BITS)
         end = np.array([end_id], dtype="<u4")
         types = [pa.int64()] * 7
