@@ -1,9 +1,10 @@
 """Document fingerprints: a Merkle tree over clauses, paragraphs and sections, in DataFrame functions only.
 
-A line is a paragraph; it is cut into clauses after marks, the leaves.  A paragraph's node hashes its leaves, a
-section is a run of paragraphs that ends where a paragraph's own hash says so (an edit moves no other bound), its node
-hashes its paragraphs, and the root hashes the sections.  Equal roots mean equal texts; the nodes in which two
-fingerprints differ say where.
+A text is cut into paragraphs after line ends and these into clauses after marks; a cut drops nothing, so a text is its
+clauses one after the other.  A clause's SHA-256 is a leaf, a paragraph's node hashes its leaves, and a section, a run of
+paragraphs that ends where a paragraph's own hash says so (an edit moves no other bound), hashes its paragraphs.  The
+root hashes the sections.  Equal roots mean equal texts, white space included; two trees are compared from the root
+down, and only branches that differ are opened.
 """
 
 from __future__ import annotations
@@ -11,102 +12,149 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A paragraph of about one in this many ends a section.
-SECTION_LINES = 8
-#: Range buckets for finding neighbours in id order.
-BUCKET_ROWS, MOST_BUCKETS = 4000, 4096
+#: Rows and bytes of text of a range bucket, and bounds that the driver gets; more buckets lie evenly between two bounds.
+BUCKET_ROWS, BUCKET_BYTES, MOST_BOUNDS = 4000, 32 << 20, 4096
 
-_CLAUSE = r"(?<=[.,;:!?])[ \t]+"
-
-
-def _hex(x: Column) -> Column:
-    return F.lpad(F.lower(F.hex(x)), 16, "0")
+# fixed values of the format: other ones give other fingerprints
+PARAGRAPH = r"[^\n]*\n|[^\n]+"
+CLAUSE = r"[^.,;:!?]{1,240}[.,;:!?]*|[.,;:!?]+"
+#: A paragraph ends a section if its hash begins with one of these: one in eight.
+SECTION_ENDS = ("0", "8")
+_DIGEST = 64
 
 
 def tree(text: Column) -> Column:
-    """array<struct<node string, leaves array<bigint>>>, one entry per paragraph; an empty text has one empty leaf."""
-    return F.transform(F.split(text, "\n", -1), lambda line: F.struct(
-        F.transform(F.split(line, _CLAUSE, -1), lambda s: F.xxhash64(s)).alias("leaves"),
-        F.length(line).alias("n"),
+    """struct<root, sections array<string>> of a text; null counts as empty.
+
+    A section is written as its digest, `=` and its paragraphs with `,` between; a paragraph as its digest, `:` and its
+    leaves.  An entry is thus a node with all below it, and two entries are equal just if their digests are.
+    """
+    body = F.coalesce(text, F.lit(""))
+    paragraphs = F.transform(F.regexp_extract_all(body, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.array_join(
+        F.transform(F.regexp_extract_all(p, F.lit(CLAUSE), F.lit(0)), lambda c: F.sha2(c, 256)), ""
     ))
+    entries = F.transform(paragraphs, lambda leaves: F.concat(F.sha2(leaves, 256), F.lit(":"), leaves))
+    # a bar after a paragraph that ends a section, a comma after any other
+    marked = F.transform(entries, lambda e: F.concat(e, F.when(F.left(e, F.lit(1)).isin(*SECTION_ENDS), "|").otherwise(",")))
+    runs = F.filter(F.split(F.array_join(marked, ""), r"\|", -1), lambda s: s != "")
+    digest = lambda run: F.sha2(F.regexp_replace(run, ":[0-9a-f]*", ""), 256)  # noqa: E731  of the paragraphs' digests
+    sections = F.transform(runs, lambda run: F.concat(digest(run), F.lit("="), run))
+    root = F.sha2(F.array_join(F.transform(sections, lambda s: F.left(s, F.lit(_DIGEST))), ""), 256)
+    return F.struct(root.alias("root"), sections.alias("sections"))
 
 
-def with_fingerprint(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """df with {prefix}fingerprint and {prefix}leaves (distinct leaf hashes) of a text column added; null counts as empty.
+def fingerprint(node: Column) -> Column:
+    """The root of a tree, then 16 digits of each section's digest: `root/sections`."""
+    return F.concat(node["root"], F.lit("/"), F.array_join(F.transform(node["sections"], lambda s: F.left(s, F.lit(16))), ""))
 
-    The fingerprint is `root/sections/paragraphs`: 32 hex digits, then 8 per section, then 8 per paragraph.
-    """
-    body, nodes, sections = f"{prefix}tree", f"{prefix}nodes", f"{prefix}sections"
-    out = df.withColumn(body, tree(F.coalesce(F.col(text), F.lit(""))))
-    # 16 digits a paragraph, then what stands between it and the next: a bar ends a section
-    out = out.withColumn(nodes, F.transform(body, lambda p: F.xxhash64(p["leaves"], p["n"])))
-    joined = F.array_join(F.transform(nodes, lambda h: F.concat(_hex(h), F.when(F.pmod(h, F.lit(SECTION_LINES)) == 0, "|").otherwise(","))), "")
-    out = out.withColumn(sections, F.transform(F.split(joined, r"\|", -1), lambda s: F.xxhash64(s)))
-    root = F.md5(F.array_join(F.transform(sections, _hex), "."))
-    short = lambda c: F.array_join(F.transform(c, lambda h: F.left(_hex(h), F.lit(8))), "")
-    out = out.withColumn(f"{prefix}fingerprint", F.concat_ws("/", root, short(F.col(sections)), short(F.col(nodes))))
-    leaves = F.array_distinct(F.flatten(F.transform(body, lambda p: p["leaves"])))
-    return out.withColumn(f"{prefix}leaves", leaves).drop(body, nodes, sections)
 
+def _paragraphs(sections: Column) -> Column:
+    """The paragraph entries of section entries."""
+    below = F.transform(sections, lambda s: F.split(F.substring(s, F.lit(_DIGEST + 2), F.length(s)), ",", -1))
+    return F.filter(F.flatten(below), lambda p: p != "")
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of the distinct leaves of two trees that both have: 1 for equal texts, 0 with none in common."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+
+def _leaves(paragraphs: Column) -> Column:
+    """The distinct leaves of paragraph entries."""
+    below = F.transform(paragraphs, lambda p: F.regexp_extract_all(F.substring(p, F.lit(_DIGEST + 2), F.length(p)), F.lit("[0-9a-f]{64}"), F.lit(0)))
+    return F.array_distinct(F.flatten(below))
+
+
+def differing(a: Column, b: Column) -> tuple[Column, Column]:
+    """The paragraph entries of each of two trees that the other lacks, among the sections that it lacks."""
+    below = [_paragraphs(F.array_except(x["sections"], y["sections"])) for x, y in ((a, b), (b, a))]
+    return F.array_except(below[0], below[1]), F.array_except(below[1], below[0])
 
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the paragraphs of fingerprint a that b lacks: where an edit lies."""
-    nodes = lambda f: F.regexp_extract_all(F.substring_index(f, "/", -1), F.lit("(.{8})"), F.lit(1))
-    marked = F.transform(nodes(a), lambda n, i: F.when(F.array_contains(nodes(b), n), None).otherwise(i))
+    """Numbers (from 0) of the paragraphs of tree a that tree b lacks: where an edit lies."""
+    odd = differing(a, b)[0]
+    marked = F.transform(_paragraphs(a["sections"]), lambda p, i: F.when(F.array_contains(odd, p), i))
     return F.filter(marked, lambda i: i.isNotNull())
 
 
+def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df with the likeness of two trees (columns, b may be null) as a column: 1 for equal roots, 0 with nothing in common.
+
+    Both are descended to the branches that differ; the leaves there that the other tree's branches lack, of the leaves
+    of both, are what they don't share.
+    """
+    trees = F.col(a), F.col(b)
+    odd = differing(*trees)
+    steps = df.withColumns({f"{name}_a": odd[0], f"{name}_b": odd[1]})
+    steps = steps.withColumns({f"{name}_a": _leaves(F.col(f"{name}_a")), f"{name}_b": _leaves(F.col(f"{name}_b"))})
+    lacking = F.size(F.array_except(f"{name}_a", f"{name}_b")) + F.size(F.array_except(f"{name}_b", f"{name}_a"))
+    of = F.col(f"{a}_leaves") + F.col(f"{b}_leaves")
+    value = F.when(trees[0]["root"] == trees[1]["root"], F.lit(1.0)).otherwise(1.0 - lacking / of)
+    return steps.withColumn(name, value).drop(f"{name}_a", f"{name}_b")
+
+
+def with_tree(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with a text's tree and the number of its distinct leaves ({name}_leaves) added."""
+    return df.withColumn(name, tree(F.col(text))).withColumn(f"{name}_leaves", F.size(_leaves(_paragraphs(F.col(name)["sections"]))))
+
+
+def _bucketed(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) with h, a hash of the text, and bucket: numbers that rise with (doc_id, h).
+
+    Bounds are quantiles of the ids.  An id that is more than one of them has so many rows that these are dealt by h;
+    other buckets are cut evenly in as many as the rows and bytes ask for.
+    """
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    wanted = max(1, size["n"] // BUCKET_ROWS, (size["chars"] or 0) // BUCKET_BYTES)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    bounds: list[int] = []
+    n = min(wanted, MOST_BOUNDS)
+    if n > 1:  # at most MOST_BOUNDS numbers come to the driver
+        at = [i / n for i in range(1, n)]
+        bounds = docs.agg(F.percentile_approx("doc_id", at, 10 * n).alias("q")).first()["q"] or []
+    parts = -(-wanted // n)
+    cuts = F.array(*[F.lit(c) for c in bounds]).cast("array<bigint>")
+    low, high = F.size(F.filter(cuts, lambda c: c < F.col("doc_id"))), F.size(F.filter(cuts, lambda c: c <= F.col("doc_id")))
+    rows = rows.withColumns({"low": low, "high": high})
+    share = F.when(F.col("high") > F.col("low") + 1, (F.col("h").cast("double") / 2.0**64 + 0.5) * (F.col("high") - F.col("low")))
+    coarse = F.col("low").cast("long") + F.coalesce(F.floor(share), F.col("high") - F.col("low"))
+    left, right = F.get(cuts, F.col("high") - 1).cast("double"), F.get(cuts, F.col("high")).cast("double")
+    inside = F.when(share.isNull() & (right > left), F.floor((F.col("doc_id") - left) / (right - left) * parts))
+    fine = F.least(F.greatest(F.coalesce(inside, F.lit(0)), F.lit(0)), F.lit(parts - 1))
+    return rows.withColumn("bucket", (coarse * parts + fine).cast("long")).drop("low", "high")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, order columns and next_text: the text of the document before it in ascending id order.
+    """doc_id, text, h, own, bucket and next_text: the text of the document before it in ascending id order.
 
     The least document's next is the greatest.  Null ids come before all others, rows of one id are ordered by a hash
-    of the text.  Rows go to range buckets by id with one shuffle; into each bucket comes a copy of the last row of
-    the bucket before it, so neighbours meet across bounds.
+    of the text.  Rows go to range buckets with one shuffle; into each comes a copy of the last row of the bucket before
+    it, so neighbours meet across bounds.  Which rows those are is settled without their texts, one row per bucket.
     """
-    n = docs.count()
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    cuts: list[int] = []
-    if buckets > 1:  # at most MOST_BUCKETS numbers come to the driver
-        at = [i / buckets for i in range(1, buckets)]
-        found = docs.agg(F.percentile_approx("doc_id", at, 10 * buckets).alias("q")).first()["q"]
-        cuts = sorted(set(found or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("doc_id")))
-    rows = docs.select("doc_id", "text", F.lit(1).alias("own"), bucket.alias("bucket"), F.xxhash64("text").alias("h"))
-    order = F.struct("doc_id", "h", "text")
-    tails = rows.groupBy("bucket").agg(F.max(order).alias("z"))
-    every = Window.partitionBy(F.lit(0)).orderBy("bucket")  # one row per bucket
+    rows = _bucketed(docs)
+    last = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("z"))
+    every = Window.partitionBy(F.lit(0)).orderBy("bucket")
     to = F.coalesce(F.lead("bucket").over(every), F.first("bucket").over(every.rowsBetween(Window.unboundedPreceding, 0)))
-    tails = tails.withColumn("to", to)
-    ghosts = tails.select(
-        F.col("z.doc_id").alias("doc_id"), F.col("z.text").alias("text"), F.lit(0).alias("own"), F.col("to").alias("bucket"), F.col("z.h").alias("h")
-    )
+    last = last.select("bucket", F.col("z.doc_id").alias("i"), F.col("z.h").alias("z"), to.alias("to"))
+    same = (rows["bucket"] == last["bucket"]) & rows["doc_id"].eqNullSafe(last["i"]) & (rows["h"] == last["z"])
+    ghosts = rows.join(last, same).select("doc_id", "text", "h", F.lit(0).alias("own"), F.col("to").alias("bucket")).dropDuplicates(["bucket"])
     near = Window.partitionBy("bucket").orderBy("own", "doc_id", "h", "text")
-    return rows.unionByName(ghosts).withColumn("next_text", F.lag("text").over(near))
+    return rows.select("doc_id", "text", "h", F.lit(1).alias("own"), "bucket").unionByName(ghosts).withColumn("next_text", F.lag("text").over(near))
 
 
 def edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every row of docs (doc_id, text; others are ignored) and of its edited text.
 
     The edited text is the text with its last half (rounded down) replaced by as many first code points of the next
-    document's text, or all of it.  A null text is empty.  Columns: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next.
+    document's text, or all of it.  A null text is empty.  An empty table gives no rows; repeated rows are each other's
+    next ones; of null ids see with_next().  Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     pairs = with_next(docs.select(F.col("doc_id").cast("long"), text.alias("text")))
     near = Window.partitionBy("bucket").orderBy("own", "doc_id", "h", "text")
-    done = with_fingerprint(pairs, "text", "").withColumn("next_leaves", F.lag("leaves").over(near)).where("own = 1")
+    done = with_tree(pairs, "text", "tree").withColumns({"next": F.lag("tree").over(near), "next_leaves": F.lag("tree_leaves").over(near)}).where("own = 1")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left("next_text", half))
-    done = with_fingerprint(done.withColumn("edited", edited), "edited", "edited_")
+    done = with_tree(done.withColumn("edited_text", edited), "edited_text", "edited")
+    done = with_likeness(with_likeness(done, "tree", "edited", "near_edited"), "tree", "next", "near_next")
     return done.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint", "edited_fingerprint",
-        likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
-        likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
+        fingerprint(F.col("tree")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "near_edited", "near_next",
     )

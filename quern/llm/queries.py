@@ -105,6 +105,42 @@ SELECT doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, coalesce(n_base, 0)::BIG
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM words LEFT JOIN found USING (doc_id)"""
 
 
+def _tree(text: str) -> str:
+    """SQL of a text's section entries: [{d: digest, p: its paragraphs as [{d, l: leaves}]}]."""
+    paragraphs = (
+        f"list_transform(list_transform(regexp_extract_all({text}, '{fingerprints.PARAGRAPH}'), lambda p: list_transform(regexp_extract_all(p, '{fingerprints.CLAUSE}'),"
+        " lambda c: sha256(c))), lambda l: {'d': sha256(array_to_string(l, '')), 'l': l})"
+    )
+    return paragraphs
+
+
+_ENDS = " OR ".join(f"starts_with(p[i].d, '{c}')" for c in fingerprints.SECTION_ENDS)
+#: A section's number is the number of section ends before its paragraphs.
+_OP10 = f"""WITH pairs AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS nt
+  FROM documents WINDOW w AS (ORDER BY doc_id DESC)),
+texts AS (SELECT doc_id, t, left(t, (length(t) - length(t) // 2)::BIGINT) || left(nt, (length(t) // 2)::BIGINT) AS e, nt FROM pairs),
+trees AS (SELECT doc_id, k, {_tree('x')} AS p FROM (SELECT doc_id, 't' AS k, t AS x FROM texts UNION ALL SELECT doc_id, 'e', e FROM texts)),
+rows_ AS (SELECT doc_id, k, i, p[i].d AS d, p[i].l AS l, {_ENDS} AS ends FROM trees, LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i)),
+placed AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM rows_),
+sections AS (SELECT doc_id, k, s, sha256(string_agg(d || CASE WHEN ends THEN '' ELSE ',' END, '' ORDER BY i)) AS sd FROM placed GROUP BY ALL),
+roots AS (SELECT t.doc_id, t.k, sha256(coalesce(string_agg(sd, '' ORDER BY s), '')) AS root, coalesce(string_agg(left(sd, 16), '' ORDER BY s), '') AS short FROM trees t LEFT JOIN sections USING (doc_id, k) GROUP BY ALL),
+nodes AS (SELECT p.doc_id, p.k, sd, d, any_value(l) AS l FROM placed p JOIN sections USING (doc_id, k, s) GROUP BY ALL),
+leaves AS (SELECT doc_id, k, count(DISTINCT leaf) AS n FROM (SELECT doc_id, k, unnest(l) AS leaf FROM nodes) GROUP BY ALL),
+compared AS (SELECT doc_id AS a, 't' AS ak, doc_id AS b, 'e' AS bk, 'near_edited' AS name FROM texts UNION ALL
+  SELECT doc_id, 't', coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), max(doc_id) OVER ()), 't', 'near_next' FROM texts),
+turned AS (SELECT a, ak, b, bk, name, 1 AS side FROM compared UNION ALL SELECT b, bk, a, ak, name, 2 FROM compared),
+keyed AS (SELECT CASE side WHEN 1 THEN a ELSE b END AS doc_id, a, ak, b, bk, name, side FROM turned),
+odd AS (SELECT q.*, n.d, n.l FROM keyed q JOIN nodes n ON n.doc_id = q.a AND n.k = q.ak WHERE NOT EXISTS (SELECT 1 FROM sections m WHERE m.doc_id = q.b AND m.k = q.bk AND m.sd = n.sd)),
+opened AS (SELECT o.* FROM odd o WHERE NOT EXISTS (SELECT 1 FROM odd m WHERE m.doc_id = o.doc_id AND m.name = o.name AND m.side <> o.side AND m.d = o.d)),
+low AS (SELECT DISTINCT doc_id, name, side, unnest(l) AS leaf FROM opened),
+lacking AS (SELECT doc_id, name, count(*) AS n FROM low l WHERE NOT EXISTS (SELECT 1 FROM low m WHERE m.doc_id = l.doc_id AND m.name = l.name AND m.side <> l.side AND m.leaf = l.leaf) GROUP BY ALL),
+near AS (SELECT q.a AS doc_id, q.name, CASE WHEN x.root = y.root THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - coalesce(k.n, 0) / (coalesce(f.n, 0) + coalesce(g.n, 0))::DOUBLE END AS v FROM compared q
+  JOIN roots x ON x.doc_id = q.a AND x.k = q.ak JOIN roots y ON y.doc_id = q.b AND y.k = q.bk LEFT JOIN leaves f ON f.doc_id = q.a AND f.k = q.ak LEFT JOIN leaves g ON g.doc_id = q.b AND g.k = q.bk
+  LEFT JOIN lacking k ON k.doc_id = q.a AND k.name = q.name)
+SELECT t.doc_id, length(t.t)::BIGINT AS n_chars, sha256(t.e) AS edited_sha256, r.root || '/' || r.short AS fingerprint, z.root || '/' || z.short AS edited_fingerprint, a.v AS near_edited, b.v AS near_next
+FROM texts t JOIN roots r ON r.doc_id = t.doc_id AND r.k = 't' JOIN roots z ON z.doc_id = t.doc_id AND z.k = 'e' JOIN near a ON a.doc_id = t.doc_id AND a.name = 'near_edited' JOIN near b ON b.doc_id = t.doc_id AND b.name = 'near_next'"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op2_minhash_near_dedup": _OP2, "op6_license_scan": _op6()}
+    return {"op2_minhash_near_dedup": _OP2, "op6_license_scan": _op6(), "op10_document_fingerprints": _OP10}

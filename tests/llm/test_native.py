@@ -91,7 +91,7 @@ def edited(rows):
     return out
 
 
-@pytest.mark.parametrize("rows_a_bucket", [3, 4000])
+@pytest.mark.parametrize("rows_a_bucket", [10, 4000])
 def test_edits(docs, monkeypatch, rows_a_bucket):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", rows_a_bucket)
     rows = fingerprints.edits(docs).collect()
@@ -107,8 +107,50 @@ def test_edits(docs, monkeypatch, rows_a_bucket):
 
 def test_edit_is_located(spark):
     rows = spark.createDataFrame([("a\nb c. d\ne", "a\nb x. d\ne")], "p string, q string")
-    both = fingerprints.with_fingerprint(fingerprints.with_fingerprint(rows, "p", "p_"), "q", "q_")
-    assert both.select(fingerprints.differing_paragraphs(F.col("p_fingerprint"), F.col("q_fingerprint"))).first()[0] == [1]
+    both = rows.select(fingerprints.tree(F.col("p")).alias("p"), fingerprints.tree(F.col("q")).alias("q"))
+    assert both.select(fingerprints.differing_paragraphs(F.col("p"), F.col("q"))).first()[0] == [1]
+
+
+def root(text):
+    """The format by hand."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    sections, run = [], ""
+    for p in re.findall(r"[^\n]*\n|[^\n]+", text):
+        d = sha("".join(sha(c) for c in re.findall(r"[^.,;:!?]{1,240}[.,;:!?]*|[.,;:!?]+", p)))
+        run += d
+        if d[0] in "08":
+            sections, run = [*sections, sha(run)], ""
+        else:
+            run += ","
+    sections += [sha(run)] if run else []
+    return sha("".join(sections)) + "/" + "".join(s[:16] for s in sections)
+
+
+def test_different_texts_have_different_roots(spark):
+    """White space, marks and line ends of all kinds: equal fingerprints only for equal texts."""
+    r = random.Random(4)
+    texts = {"", " ", "  ", "\n", "\n\n", "Aa.  Bb. Cc", "Aa. Bb.  Cc", "Aa. Bb", "Aa.\tBb", "Aa.\n Bb", "Aa.\r\nBb", "a" * 240, "a" * 241, "a" * 480, "ab,", "ab", ",ab"}
+    texts |= {"".join(r.choice("ab .,\n\t;é") for _ in range(r.randrange(14))) for _ in range(3000)}
+    texts |= {"".join(r.choice("ab\n.") for _ in range(r.randrange(300))) for _ in range(100)}
+    made = spark.createDataFrame([(t,) for t in sorted(texts)], "t string").select("t", fingerprints.fingerprint(fingerprints.tree(F.col("t"))).alias("f"))
+    got = {x["t"]: x["f"] for x in made.collect()}
+    assert got == {t: root(t) for t in texts} and len({f[:64] for f in got.values()}) == len(texts)
+
+
+def test_hot_ids_are_dealt_in_order(spark, monkeypatch):
+    """A third of the rows with one id, nulls too: buckets rise with id and hash, and neighbours are whom sorting finds."""
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(fingerprints, "MOST_BOUNDS", 12)
+    rows = [(7 if k % 3 == 0 else None if k % 20 == 1 else k * k, f"text {k}") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    made = [(x["doc_id"], x["h"], x["bucket"]) for x in fingerprints._bucketed(frame).collect()]
+    order = sorted(made, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    buckets = [b for _, _, b in order]
+    assert buckets == sorted(buckets) and len({b for i, _, b in made if i == 7}) > 3 and len(set(buckets)) > 12
+    hashes = {x["text"]: x["h"] for x in fingerprints._bucketed(frame).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]))
+    want = {t: order[k - 1][1] for k, (_, t) in enumerate(order)}
+    assert {x["text"]: x["next_text"] for x in fingerprints.with_next(frame).where("own = 1").collect()} == want
 
 
 def test_odd_fingerprints(odd, none, spark):
