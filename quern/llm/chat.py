@@ -8,7 +8,7 @@ span itself lie under the loss mask, so a repeated target is never learnt twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -46,57 +46,52 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFra
 
     turns: conv_id, turn, role, text; other columns are ignored.  Turns are ordered by turn (null last), then role and
     text, so repeated rows stay, in a defined order.  A null role or text is empty; rows with a null conv_id are one
-    conversation.  budget: tokens of a window; a turn that exceeds it alone has a window of its own.  history: tokens
-    of earlier turns that a window repeats before its span, whole turns only.  Only a first turn of role system is
-    retained in every window.  A conversation is one record and is formatted in one place.
+    conversation; an empty table gives no rows.  Only a first turn of role system is retained in every window.
+
+    budget: tokens of a window.  What the system turn and history leave of it is its room.  A turn of more than half the
+    room has a window of its own, whatever its size.  Between such turns a turn's window is its prefix sum divided by a
+    stride, the room less the longest other turn, so that a window's turns fit the room.  history: tokens of the turns
+    before a window that it repeats, whole turns of the window before it.
+
+    Windows are numbered over rows sorted by conversation, which stream through a task, and a row is never joined with
+    its whole conversation: the work is linear in the turns.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    one = F.struct(
-        F.col("turn").isNull().alias("last"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"),
-    )
-    talk = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
-    marked = F.transform("t", lambda x: F.struct(
-        x["role"].alias("role"),
-        F.concat(F.lit(OPEN), _escape_role(x["role"]), F.lit("\n")).alias("head"),
-        escape(x["text"]).alias("body"),
-        turn_tokens(x["text"]).alias("n"),
-    ))
-    talk = talk.select("conv_id", marked.alias("t"))
-    talk = talk.withColumn("system", (F.col("t")[0]["role"] == "system").cast("long"))
-    fixed = F.when(F.col("system") == 1, F.col("t")[0]["n"]).otherwise(F.lit(0).cast("long"))
-    # prefix[i]: tokens of the turns before turn i
-    prefix = F.aggregate("t", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["n"])))
-    talk = talk.withColumn("prefix", prefix).withColumn("room", F.greatest(F.lit(budget) - fixed, F.lit(1)))
-
-    # the first turns of the spans: a turn opens a span if the prefix sums say that the current one is full with it
-    def step(acc: Column, i: Column) -> Column:
-        begin = F.element_at(acc, -1)
-        used = F.get("prefix", i + 1) - F.get("prefix", begin)
-        repeated = F.when(begin > F.col("system"), F.lit(history)).otherwise(F.lit(0))
-        return F.when((i > begin) & (used + repeated > F.col("room")), F.concat(acc, F.array(i))).otherwise(acc)
-
-    first = F.col("system").cast("int")
-    order = F.when(F.size("t") > first, F.sequence(first, F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
-    begins = F.aggregate(order, F.array(first), step)
-    spans = talk.withColumn("begins", begins).select(
-        "conv_id", "t", "prefix", "system", F.posexplode("begins").alias("window", "begin"), F.size("t").alias("n"), "begins",
-    )
-    spans = spans.withColumn("end", F.coalesce(F.get("begins", F.col("window") + 1), F.col("n")))
-    # history: the turns before the span whose tokens, summed back from it, fit
-    kept = F.filter(
-        F.when(F.col("begin") > first, F.sequence(first, F.col("begin") - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.get("prefix", F.col("begin")) - F.get("prefix", i) <= history,
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), turn_tokens(text).alias("n"))
+    whole = Window.partitionBy("conv_id")
+    order = whole.orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("i", F.row_number().over(order)).withColumn("system", (F.col("i") == 1) & (F.col("role") == "system"))
+    # the system turn takes its tokens from every window's room; of all others there are prefix sums
+    rows = rows.withColumn("m", F.when(F.col("system"), 0).otherwise(F.col("n")))
+    rows = rows.withColumns({
+        "prefix": F.sum("m").over(upto) - F.col("m"),
+        "room": F.greatest(F.lit(budget - history) - F.max(F.when(F.col("system"), F.col("n")).otherwise(0)).over(whole), F.lit(2)),
+    })
+    rows = rows.withColumn("long", 2 * F.col("m") > F.col("room"))
+    longest = F.coalesce(F.max(F.when(~F.col("long"), F.col("m"))).over(whole), F.lit(0))
+    rows = rows.withColumns({"stride": F.col("room") - longest, "opens": F.col("long") | F.coalesce(F.lag("long").over(order), F.lit(True))})
+    rows = rows.withColumn("origin", F.max(F.when(F.col("opens"), F.col("prefix"))).over(upto))
+    rows = rows.withColumn("step", F.floor((F.col("prefix") - F.col("origin")) / F.col("stride")))
+    new = F.col("opens") | (F.col("step") != F.coalesce(F.lag("step").over(order), F.lit(-1)))
+    new = (F.col("i") == 1) | (new & ~F.coalesce(F.lag("system").over(order), F.lit(False)))  # the turn after the system's is in its window
+    rows = rows.withColumn("new", new.cast("int")).withColumn("window", (F.sum("new").over(upto) - 1).cast("int"))
+    part = F.struct(
+        "i", "role", F.concat(F.lit(OPEN), _escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), "prefix", "system",
     )
-    spans = spans.withColumn("head_", F.when(F.col("system") == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
-    spans = spans.withColumn("back", kept)
-    new = F.when(F.col("end") > F.col("begin"), F.sequence("begin", F.col("end") - 1)).otherwise(F.array().cast("array<int>"))
+    spans = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(part)).alias("t"))
+    by_window = whole.orderBy("window")
+    none = F.filter("t", lambda x: F.lit(False))
+    before = F.coalesce(F.lag("t").over(by_window), none)
+    first = F.first(F.get("t", F.lit(0))).over(by_window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = spans.withColumns({"before": before, "first": first})
+    spans = spans.withColumn("before", F.filter("before", lambda x: ~x["system"] & (F.get("t", F.lit(0))["prefix"] - x["prefix"] <= history)))
     # the system turn is a repeat in all windows but the first
-    spans = spans.withColumn("order", F.concat("head_", "back", new)).withColumn(
-        "context", F.size("back") + F.when(F.col("window") > 0, F.size("head_")).otherwise(F.lit(0))
-    )
-    shown = spans.withColumn("parts", F.transform("order", lambda i: F.get("t", i)))
-    whole = F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE)))
-    # where each part's text starts: running sum of the lengths before it
+    head = F.when((F.col("window") > 0) & F.col("first.system"), F.array("first")).otherwise(none)
+    spans = spans.withColumn("parts", F.concat(head, F.col("before"), F.col("t")))
+    spans = spans.withColumn("context", F.size("parts") - F.size("t"))
+    whole_text = F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE)))
+    # where each part's text starts: running sum of the lengths before it; a window has no more turns than its budget
     state = F.aggregate(
         F.transform("parts", lambda p, k: F.struct(
             F.length(p["head"]).alias("h"), F.length(p["body"]).alias("b"),
@@ -108,7 +103,7 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFra
             F.when(p["learn"], F.concat(s["loss"], F.array(F.struct((s["at"] + p["h"]).alias("start"), p["b"].alias("length"))))).otherwise(s["loss"]).alias("loss"),
         ),
     )
-    return shown.select("conv_id", "window", F.array_join(whole, "").alias("text"), "context", state["loss"].alias("loss"))
+    return spans.select("conv_id", "window", F.array_join(whole_text, "").alias("text"), "context", state["loss"].alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
