@@ -36,13 +36,14 @@ _U = np.uint64
 END = int(kernels.mix(np.array([0x5151], dtype=_U))[0])
 #: Text bytes of a shard (a longer text is a shard of its own), and keys that a bucket gets, about.
 SHARD_BYTES, BUCKET_KEYS = 8 << 20, 2_000_000
-#: Orders of n-grams, and the bytes of a key that travel: words in full; of longer ones what the bucket doesn't tell.
-ORDERS, KEY_BYTES = (1, 2, 3), (8, 5, 5)
+ORDERS = (1, 2, 3)
+#: Leading bits of a longer n-gram's hash that tell it from the others in its bucket; words keep all 64.
+KEY_BITS = 40
 #: Shards of a task have numbers from partition << SHARD_BITS on.
 SHARD_BITS = 32
 
 _BLOCKS = "shard long, tokens long, doc_ids array<long>, learn binary, sizes binary, ids binary, vocabulary binary"
-_SENT = "bucket long, shard long, " + ", ".join(f"k{o} binary, c{o} binary" for o in ORDERS)
+_SENT = "bucket long, shard long, " + ", ".join(f"n{o} int, k{o} binary, c{o} binary" for o in ORDERS)
 _BACK = "bucket long, shard long, " + ", ".join(f"t{o} binary" for o in ORDERS) + ", stats array<long>"
 _SCORED = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -92,10 +93,46 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (((keys >> _U(40)) * _U(buckets)) >> _U(24)).astype(np.int64)
 
 
-def _read_keys(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
-    return out.reshape(-1).view("<u8")
+def _write_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, each in four bytes if that is enough for all, else in eight."""
+    steps = np.diff(keys, prepend=_U(0))
+    head, rest = steps[:1], steps[1:]
+    return head.astype("<u8").tobytes() + rest.astype("<u4" if not len(rest) or rest.max() < 1 << 32 else "<u8").tobytes()
+
+
+def _read_keys(raw: bytes, n: int) -> np.ndarray:
+    """What _write_keys() made of n keys."""
+    rest = np.frombuffer(raw, dtype="<u4" if len(raw) == 4 + 4 * n else "<u8", offset=8 if len(raw) == 4 + 4 * n else 0)
+    if len(raw) == 4 + 4 * n:
+        rest = np.concatenate([np.frombuffer(raw, dtype="<u8", count=1), rest])
+    return np.cumsum(rest, dtype=_U)
+
+
+def _packed(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def _unpacked(raw: bytes, size: int) -> bytes:
+    return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True) if raw else b""
+
+
+def _wide(counts: np.ndarray) -> bytes:
+    """A byte that tells the width, then counts as _short() has them, compressed: most are 1."""
+    raw = _short(counts)
+    return bytes([len(raw) // len(counts)]) + _packed(raw) if len(counts) else b""
+
+
+def _narrow(raw: bytes, n: int) -> np.ndarray:
+    return _long(_unpacked(raw[1:], raw[0] * n), n) if n else np.zeros(0, dtype="<i8")
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of four bytes by byte, all first bytes first: high ones are nearly all 0 and take no room."""
+    return _packed(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _from_planes(raw: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpacked(raw, 4 * n), dtype=np.uint8).reshape(4, n).T).reshape(-1).view("<u4")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -114,13 +151,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(found), dtype="<u4")
         rank[order] = np.arange(len(found), dtype="<u4")
-        numbers = pa.compress(rank[where].tobytes(), codec="zstd", asbytes=True)
         doc_ids = pa.chunked_array(ids).combine_chunks()
         return pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int64()), pa.array([len(words) + len(sizes)], pa.int64()),
              pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids),
              pa.array([np.concatenate(learn).astype(np.uint8).tobytes()], pa.binary()), pa.array([sizes.astype("<i8").tobytes()], pa.binary()),
-             pa.array([numbers], pa.binary()), pa.array([found[order].astype("<u8").tobytes()], pa.binary())],
+             pa.array([_planes(rank[where])], pa.binary()), pa.array([found[order].astype("<u8").tobytes()], pa.binary())],
             names=["shard", "tokens", "doc_ids", "learn", "sizes", "ids", "vocabulary"],
         )
 
@@ -152,7 +188,7 @@ class _Grams:
         is_end[ends] = True
         tokens = np.empty(len(is_end), dtype=np.int64)
         tokens[is_end] = len(words)
-        tokens[~is_end] = np.frombuffer(pa.decompress(ids, decompressed_size=4 * n, codec="zstd"), dtype="<u4") if n else 0
+        tokens[~is_end] = _from_planes(ids, n)
         hashes = np.concatenate([words, np.array([END], dtype=_U)])
         order = np.argsort(hashes, kind="stable")
         place = np.empty(len(order), dtype=np.int64)
@@ -184,6 +220,7 @@ class _Grams:
 
 def _sender(buckets: int):
     """Blocks to rows of a bucket and a shard: keys in sorted order, and their training counts."""
+    drop = _U(max(0, 64 - KEY_BITS - buckets.bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_free()
@@ -191,18 +228,19 @@ def _sender(buckets: int):
             for row in batch.to_pylist():
                 grams = _Grams(row["learn"], row["sizes"], row["ids"], row["vocabulary"])
                 columns, full = [], np.zeros(buckets, dtype=bool)
-                for order, width in zip(ORDERS, KEY_BYTES):
+                for order in ORDERS:
                     keys, counts = grams.counted(order)
                     bounds = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
                     full |= np.diff(bounds) > 0
-                    columns.append((keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width], counts, bounds))
+                    columns.append((keys if order == 1 else keys >> drop, counts, bounds))
                 del grams
                 some = np.flatnonzero(full).tolist()
                 for k in range(0, len(some), 256):
                     part = some[k : k + 256]
                     arrays = [pa.array(part, pa.int64()), pa.array([row["shard"]] * len(part), pa.int64())]
                     for keys, counts, bounds in columns:
-                        arrays.append(pa.array([keys[bounds[b] : bounds[b + 1]].tobytes() for b in part], pa.binary()))
+                        arrays.append(pa.array([int(bounds[b + 1] - bounds[b]) for b in part], pa.int32()))
+                        arrays.append(pa.array([_write_keys(keys[bounds[b] : bounds[b + 1]]) for b in part], pa.binary()))
                         arrays.append(pa.array([_short(counts[bounds[b] : bounds[b + 1]]) for b in part], pa.binary()))
                     yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _SENT.split(", ")])
 
@@ -214,14 +252,14 @@ def _total(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     worker_free()
     shards = table.column("shard").to_pylist()
     back, stats = [], []
-    for order, width in zip(ORDERS, KEY_BYTES):
-        keys = [_read_keys(k, width) for k in table.column(f"k{order}").to_pylist()]
+    for order in ORDERS:
+        keys = [_read_keys(k, n) for k, n in zip(table.column(f"k{order}").to_pylist(), table.column(f"n{order}").to_pylist())]
         counts = np.concatenate([_long(c, len(k)) for c, k in zip(table.column(f"c{order}").to_pylist(), keys)])
         bounds = np.cumsum([0, *map(len, keys)])
         found, where = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(where, weights=counts, minlength=len(found)).astype("<i8")
         own = totals[where]
-        back.append([_short(own[i:j]) for i, j in zip(bounds[:-1], bounds[1:])] + [b""])
+        back.append([_wide(own[i:j]) for i, j in zip(bounds[:-1], bounds[1:])] + [b""])
         stats += [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())]
     bucket = table.column("bucket")[0].as_py()
     arrays = [pa.array([bucket] * (len(shards) + 1), pa.int64()), pa.array([*shards, -1], pa.int64())]
@@ -237,7 +275,7 @@ def _traverse(m: Model, buckets: int, block: dict, arcs: pa.Table) -> tuple[np.n
 
     def totals(order: int, keys: np.ndarray) -> np.ndarray:
         own = np.bincount(_bucket_of(keys, buckets), minlength=buckets)[at]
-        return np.concatenate([_long(raw, int(n)) for raw, n in zip(arcs.column(f"t{order}").to_pylist(), own)]).astype(np.float64)
+        return np.concatenate([_narrow(raw, int(n)) for raw, n in zip(arcs.column(f"t{order}").to_pylist(), own)]).astype(np.float64)
 
     c = totals(1, grams.words)[grams.tokens]
     base = np.log10((c + 1) / (m.tokens + 1 * (m.words + 1)))
