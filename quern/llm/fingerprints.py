@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of text of a range bucket, and bounds that the driver gets; more buckets lie evenly between two bounds.
 BUCKET_ROWS, BUCKET_BYTES, MOST_BOUNDS = 4000, 32 << 20, 4096
+#: Buckets up to which a row of three numbers for each is sent to all tasks.
+MOST_SENT = 100_000
 
 # fixed values of the format: other ones give other fingerprints
 PARAGRAPH = r"[^\n]*\n|[^\n]+"
@@ -23,29 +25,35 @@ SECTION_ENDS = ("0", "8")
 _DIGEST = 64
 
 
-def tree(text: Column) -> Column:
-    """struct<root, sections array<string>> of a text; null counts as empty.
+def with_tree(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with a text's tree: {name}_root, {name}_sections (array<string>), {name}_leaves (number of distinct ones).
 
-    A section is written as its digest, `=` and its paragraphs with `,` between; a paragraph as its digest, `:` and its
-    leaves.  An entry is thus a node with all below it, and two entries are equal just if their digests are.
+    A null text counts as empty.  A section is written as its digest, `=` and its paragraphs with `,` between; a
+    paragraph as its digest, `:` and its leaves.  An entry is thus a node with all below it, and two entries are equal
+    just if their digests are.
     """
-    body = F.coalesce(text, F.lit(""))
+    body = F.coalesce(F.col(text), F.lit(""))
     paragraphs = F.transform(F.regexp_extract_all(body, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.array_join(
         F.transform(F.regexp_extract_all(p, F.lit(CLAUSE), F.lit(0)), lambda c: F.sha2(c, 256)), ""
     ))
-    entries = F.transform(paragraphs, lambda leaves: F.concat(F.sha2(leaves, 256), F.lit(":"), leaves))
+    # each step is a column of its own, which is computed once
+    out = df.withColumn(f"{name}_entries", F.transform(paragraphs, lambda leaves: F.concat(F.sha2(leaves, 256), F.lit(":"), leaves)))
+    entries = F.col(f"{name}_entries")
     # a bar after a paragraph that ends a section, a comma after any other
     marked = F.transform(entries, lambda e: F.concat(e, F.when(F.left(e, F.lit(1)).isin(*SECTION_ENDS), "|").otherwise(",")))
     runs = F.filter(F.split(F.array_join(marked, ""), r"\|", -1), lambda s: s != "")
-    digest = lambda run: F.sha2(F.regexp_replace(run, ":[0-9a-f]*", ""), 256)  # noqa: E731  of the paragraphs' digests
-    sections = F.transform(runs, lambda run: F.concat(digest(run), F.lit("="), run))
-    root = F.sha2(F.array_join(F.transform(sections, lambda s: F.left(s, F.lit(_DIGEST))), ""), 256)
-    return F.struct(root.alias("root"), sections.alias("sections"))
+    digest = lambda run: F.sha2(F.regexp_replace(run, ":[0-9a-f]*+", ""), 256)  # noqa: E731  of the paragraphs' digests
+    out = out.withColumn(f"{name}_sections", F.transform(runs, lambda run: F.concat(digest(run), F.lit("="), run)))
+    sections = F.col(f"{name}_sections")
+    return out.withColumns({
+        f"{name}_root": F.sha2(F.array_join(F.transform(sections, lambda s: F.left(s, F.lit(_DIGEST))), ""), 256),
+        f"{name}_leaves": F.size(_leaves(entries)),
+    }).drop(f"{name}_entries")
 
 
-def fingerprint(node: Column) -> Column:
+def fingerprint(name: str) -> Column:
     """The root of a tree, then 16 digits of each section's digest: `root/sections`."""
-    return F.concat(node["root"], F.lit("/"), F.array_join(F.transform(node["sections"], lambda s: F.left(s, F.lit(16))), ""))
+    return F.concat(F.col(f"{name}_root"), F.lit("/"), F.array_join(F.transform(f"{name}_sections", lambda s: F.left(s, F.lit(16))), ""))
 
 
 def _paragraphs(sections: Column) -> Column:
@@ -56,46 +64,43 @@ def _paragraphs(sections: Column) -> Column:
 
 def _leaves(paragraphs: Column) -> Column:
     """The distinct leaves of paragraph entries."""
-    below = F.transform(paragraphs, lambda p: F.regexp_extract_all(F.substring(p, F.lit(_DIGEST + 2), F.length(p)), F.lit("[0-9a-f]{64}"), F.lit(0)))
-    return F.array_distinct(F.flatten(below))
+    cut = F.transform(paragraphs, lambda p: F.transform(
+        F.sequence(F.lit(_DIGEST + 2), F.length(p) - _DIGEST + 1, F.lit(_DIGEST)), lambda k: F.substring(p, k, F.lit(_DIGEST))
+    ))
+    return F.array_distinct(F.flatten(cut))
 
 
-def differing(a: Column, b: Column) -> tuple[Column, Column]:
-    """The paragraph entries of each of two trees that the other lacks, among the sections that it lacks."""
-    below = [_paragraphs(F.array_except(x["sections"], y["sections"])) for x, y in ((a, b), (b, a))]
-    return F.array_except(below[0], below[1]), F.array_except(below[1], below[0])
+def differing(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df with {name}_a, {name}_b: the paragraph entries of each of two trees that the other lacks, in sections that it lacks."""
+    x, y = F.col(f"{a}_sections"), F.col(f"{b}_sections")
+    out = df.withColumns({f"{name}_a": _paragraphs(F.array_except(x, y)), f"{name}_b": _paragraphs(F.array_except(y, x))})
+    x, y = F.col(f"{name}_a"), F.col(f"{name}_b")
+    return out.withColumns({f"{name}_a": F.array_except(x, y), f"{name}_b": F.array_except(y, x)})
 
 
-def differing_paragraphs(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the paragraphs of tree a that tree b lacks: where an edit lies."""
-    odd = differing(a, b)[0]
-    marked = F.transform(_paragraphs(a["sections"]), lambda p, i: F.when(F.array_contains(odd, p), i))
-    return F.filter(marked, lambda i: i.isNotNull())
+def differing_paragraphs(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df with the numbers (from 0) of the paragraphs of tree a that tree b lacks: where an edit lies."""
+    out = differing(df, a, b, name)
+    marked = F.transform(_paragraphs(F.col(f"{a}_sections")), lambda p, i: F.when(F.array_contains(f"{name}_a", p), i))
+    return out.withColumn(name, F.filter(marked, lambda i: i.isNotNull())).drop(f"{name}_a", f"{name}_b")
 
 
 def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """df with the likeness of two trees (columns, b may be null) as a column: 1 for equal roots, 0 with nothing in common.
+    """df with the likeness of two trees as a column: 1 for equal roots, 0 with nothing in common.
 
     Both are descended to the branches that differ; the leaves there that the other tree's branches lack, of the leaves
     of both, are what they don't share.
     """
-    trees = F.col(a), F.col(b)
-    odd = differing(*trees)
-    steps = df.withColumns({f"{name}_a": odd[0], f"{name}_b": odd[1]})
-    steps = steps.withColumns({f"{name}_a": _leaves(F.col(f"{name}_a")), f"{name}_b": _leaves(F.col(f"{name}_b"))})
+    out = differing(df, a, b, name)
+    out = out.withColumns({f"{name}_a": _leaves(F.col(f"{name}_a")), f"{name}_b": _leaves(F.col(f"{name}_b"))})
     lacking = F.size(F.array_except(f"{name}_a", f"{name}_b")) + F.size(F.array_except(f"{name}_b", f"{name}_a"))
     of = F.col(f"{a}_leaves") + F.col(f"{b}_leaves")
-    value = F.when(trees[0]["root"] == trees[1]["root"], F.lit(1.0)).otherwise(1.0 - lacking / of)
-    return steps.withColumn(name, value).drop(f"{name}_a", f"{name}_b")
-
-
-def with_tree(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with a text's tree and the number of its distinct leaves ({name}_leaves) added."""
-    return df.withColumn(name, tree(F.col(text))).withColumn(f"{name}_leaves", F.size(_leaves(_paragraphs(F.col(name)["sections"]))))
+    value = F.when(F.col(f"{a}_root") == F.col(f"{b}_root"), F.lit(1.0)).otherwise(1.0 - lacking / of)
+    return out.withColumn(name, value).drop(f"{name}_a", f"{name}_b")
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) with h, a hash of the text, and bucket: numbers that rise with (doc_id, h).
+def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (doc_id, text) with h, a hash of the text, and bucket: numbers that rise with (doc_id, h); and how many at most.
 
     Bounds are quantiles of the ids.  An id that is more than one of them has so many rows that these are dealt by h;
     other buckets are cut evenly in as many as the rows and bytes ask for.
@@ -117,7 +122,7 @@ def _bucketed(docs: DataFrame) -> DataFrame:
     left, right = F.get(cuts, F.col("high") - 1).cast("double"), F.get(cuts, F.col("high")).cast("double")
     inside = F.when(share.isNull() & (right > left), F.floor((F.col("doc_id") - left) / (right - left) * parts))
     fine = F.least(F.greatest(F.coalesce(inside, F.lit(0)), F.lit(0)), F.lit(parts - 1))
-    return rows.withColumn("bucket", (coarse * parts + fine).cast("long")).drop("low", "high")
+    return rows.withColumn("bucket", (coarse * parts + fine).cast("long")).drop("low", "high"), (len(bounds) + 1) * parts
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -127,13 +132,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     of the text.  Rows go to range buckets with one shuffle; into each comes a copy of the last row of the bucket before
     it, so neighbours meet across bounds.  Which rows those are is settled without their texts, one row per bucket.
     """
-    rows = _bucketed(docs)
+    rows, buckets = _bucketed(docs)
     last = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("z"))
     every = Window.partitionBy(F.lit(0)).orderBy("bucket")
     to = F.coalesce(F.lead("bucket").over(every), F.first("bucket").over(every.rowsBetween(Window.unboundedPreceding, 0)))
     last = last.select("bucket", F.col("z.doc_id").alias("i"), F.col("z.h").alias("z"), to.alias("to"))
     same = (rows["bucket"] == last["bucket"]) & rows["doc_id"].eqNullSafe(last["i"]) & (rows["h"] == last["z"])
-    ghosts = rows.join(last, same).select("doc_id", "text", "h", F.lit(0).alias("own"), F.col("to").alias("bucket")).dropDuplicates(["bucket"])
+    ghosts = rows.join(F.broadcast(last) if buckets <= MOST_SENT else last, same).select("doc_id", "text", "h", F.lit(0).alias("own"), F.col("to").alias("bucket")).dropDuplicates(["bucket"])
     near = Window.partitionBy("bucket").orderBy("own", "doc_id", "h", "text")
     return rows.select("doc_id", "text", "h", F.lit(1).alias("own"), "bucket").unionByName(ghosts).withColumn("next_text", F.lag("text").over(near))
 
@@ -149,12 +154,13 @@ def edits(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     pairs = with_next(docs.select(F.col("doc_id").cast("long"), text.alias("text")))
     near = Window.partitionBy("bucket").orderBy("own", "doc_id", "h", "text")
-    done = with_tree(pairs, "text", "tree").withColumns({"next": F.lag("tree").over(near), "next_leaves": F.lag("tree_leaves").over(near)}).where("own = 1")
+    done = with_tree(pairs, "text", "tree")
+    done = done.withColumns({f"next_{c}": F.lag(f"tree_{c}").over(near) for c in ("root", "sections", "leaves")}).where("own = 1")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left("next_text", half))
     done = with_tree(done.withColumn("edited_text", edited), "edited_text", "edited")
     done = with_likeness(with_likeness(done, "tree", "edited", "near_edited"), "tree", "next", "near_next")
     return done.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
-        fingerprint(F.col("tree")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "near_edited", "near_next",
+        fingerprint("tree").alias("fingerprint"), fingerprint("edited").alias("edited_fingerprint"), "near_edited", "near_next",
     )

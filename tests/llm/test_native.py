@@ -76,6 +76,31 @@ def test_conversations_are_read_back(spark, budget, history):
     assert {c: g[2] for c, g in got.items()} == dict(sizes)
 
 
+def test_windows_keep_their_budget(spark):
+    """Every window holds the system turn, at most `history` tokens of repeats and, but for one long turn, fits the budget."""
+    r = random.Random(5)
+    rows = []
+    for c in range(60):
+        for k in range(r.randrange(1, 60)):
+            rows.append((c, k, "system" if k == 0 and c % 2 else ["user", "assistant"][k % 2], "w " * r.choice([0, 1, 5, 30, 60, 200])))
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 128, 32)
+    for w in made.collect():
+        parts = w["text"].split(chat.CLOSE)[:-1]
+        sizes = [p.split("\n", 1)[1].count("w") + 4 for p in parts]
+        system = sizes[0] if parts[0].startswith("<|im_start|>system") else 0
+        assert bool(system) == bool(w["conv_id"] % 2)
+        repeats = sizes[1 if system else 0 : w["context"]] if w["window"] else []
+        assert sum(repeats) <= 32 and (sum(sizes) <= 128 or system + sum(repeats) + max(sizes) >= 128 or len(sizes) - w["context"] == 1)
+
+
+def test_long_conversations(spark):
+    """Ten thousand turns of one conversation, read back whole."""
+    turns = spark.range(10_000).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id, repeat(' word', 60)) AS text")
+    row = chat.read_back(chat.windows(turns)).collect()[0]
+    want = [(["user", "assistant"][k % 2], f"turn {k}" + " word" * 60) for k in range(10_000)]
+    assert [tuple(t) for t in row["turns"]] == want and row["loss_text"] == "".join(t for r, t in want if r == "assistant")
+
+
 def test_no_conversations(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, window int")
     assert chat.read_back(chat.windows(empty)).collect() == []
@@ -107,8 +132,8 @@ def test_edits(docs, monkeypatch, rows_a_bucket):
 
 def test_edit_is_located(spark):
     rows = spark.createDataFrame([("a\nb c. d\ne", "a\nb x. d\ne")], "p string, q string")
-    both = rows.select(fingerprints.tree(F.col("p")).alias("p"), fingerprints.tree(F.col("q")).alias("q"))
-    assert both.select(fingerprints.differing_paragraphs(F.col("p"), F.col("q"))).first()[0] == [1]
+    both = fingerprints.with_tree(fingerprints.with_tree(rows, "p", "a"), "q", "b")
+    assert fingerprints.differing_paragraphs(both, "a", "b", "odd").first()["odd"] == [1]
 
 
 def root(text):
@@ -132,8 +157,8 @@ def test_different_texts_have_different_roots(spark):
     texts = {"", " ", "  ", "\n", "\n\n", "Aa.  Bb. Cc", "Aa. Bb.  Cc", "Aa. Bb", "Aa.\tBb", "Aa.\n Bb", "Aa.\r\nBb", "a" * 240, "a" * 241, "a" * 480, "ab,", "ab", ",ab"}
     texts |= {"".join(r.choice("ab .,\n\t;é") for _ in range(r.randrange(14))) for _ in range(3000)}
     texts |= {"".join(r.choice("ab\n.") for _ in range(r.randrange(300))) for _ in range(100)}
-    made = spark.createDataFrame([(t,) for t in sorted(texts)], "t string").select("t", fingerprints.fingerprint(fingerprints.tree(F.col("t"))).alias("f"))
-    got = {x["t"]: x["f"] for x in made.collect()}
+    made = spark.createDataFrame([(t,) for t in sorted(texts)], "t string")
+    got = {x["t"]: x["f"] for x in fingerprints.with_tree(made, "t", "x").select("t", fingerprints.fingerprint("x").alias("f")).collect()}
     assert got == {t: root(t) for t in texts} and len({f[:64] for f in got.values()}) == len(texts)
 
 
@@ -143,11 +168,11 @@ def test_hot_ids_are_dealt_in_order(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "MOST_BOUNDS", 12)
     rows = [(7 if k % 3 == 0 else None if k % 20 == 1 else k * k, f"text {k}") for k in range(300)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    made = [(x["doc_id"], x["h"], x["bucket"]) for x in fingerprints._bucketed(frame).collect()]
+    made = [(x["doc_id"], x["h"], x["bucket"]) for x in fingerprints._bucketed(frame)[0].collect()]
     order = sorted(made, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     buckets = [b for _, _, b in order]
     assert buckets == sorted(buckets) and len({b for i, _, b in made if i == 7}) > 3 and len(set(buckets)) > 12
-    hashes = {x["text"]: x["h"] for x in fingerprints._bucketed(frame).collect()}
+    hashes = {x["text"]: x["h"] for x in fingerprints._bucketed(frame)[0].collect()}
     order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]))
     want = {t: order[k - 1][1] for k, (_, t) in enumerate(order)}
     assert {x["text"]: x["next_text"] for x in fingerprints.with_next(frame).where("own = 1").collect()} == want
