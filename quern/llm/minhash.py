@@ -160,19 +160,20 @@ def near_duplicates(
 
     A null or empty text has no shingles: it is its own component and kept.  Rows of one id are one node of the
     graph; a row with a null id takes the component of its text, or null, and is kept only in the latter case.
-    Equal sets share a class, of which only the least id is compared.  With bands=30 and rows=6 a pair at
-    similarity 0.85 shares no bucket with a probability of 7e-7.
+    Equal sets share a class, of which only the least id is compared.  An empty table gives no rows.  With bands=30 and
+    rows=6 a pair at similarity 0.85 shares no bucket with a probability of 7e-7 if its bins are independent, as those of
+    long texts nearly are; texts of few shingles fill bins from one another, and miss more often.
     """
     base = cut(signatures(docs, bands, rows, width))
     some = base.where(F.col("digest").isNotNull())
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    nodes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).where("rep is not null")
-    keyed = nodes.select("rep", F.explode("keys").alias("key")).distinct()
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    nodes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys")))
+    # sides of joins are tables of their own, so that the parts of a bucket with a large share of the rows can be split
+    keyed = nodes.where("rep is not null").select("rep", F.explode("keys").alias("key")).distinct()
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     members = cut(keyed.join(sizes, "key"))
     weight = members.groupBy("rep").agg(F.sum("m").alias("w"))
     best = F.max(F.struct("w", (-F.col("rep")).alias("o")))
-    centre = members.join(weight, "rep").groupBy("key").agg(best.alias("z")).select("key", (-F.col("z.o")).alias("a"))
+    centre = cut(members.join(weight, "rep").groupBy("key").agg(best.alias("z")).select("key", (-F.col("z.o")).alias("a")))
     pairs = cut(members.join(centre, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
 
     involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -197,17 +198,21 @@ def near_duplicates(
     common = F.size(F.array_intersect("sa", "sb"))
     confirmed = _with_sets(more, sets).where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    reps = some.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep")
-    # an id whose rows have different texts joins their classes
-    twice = (
-        reps.where(F.col("doc_id").isNotNull()).distinct().groupBy("doc_id")
-        .agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.collect_set("rep").alias("all"))
-        .where("a <> z").select("a", F.explode("all").alias("b")).where("a <> b")
-    )
-    links = stars.where("linked").select("a", "b").unionByName(confirmed).unionByName(twice)
-    labels = connected(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("c"))
-    label = classes.join(labels, "rep", "left").select("digest", F.coalesce("c", "rep").alias("c"))
-    out = base.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
+    # an id whose rows have different texts joins their classes; only ids of several digests are looked at
+    twice = some.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("z")).where("d <> z").select("doc_id")
+    twice = cut(twice)
+    joined = links = stars.where("linked").select("a", "b").unionByName(confirmed)
+    if not twice.isEmpty():
+        reps = some.join(twice, "doc_id").select("doc_id", "digest").distinct().join(nodes.select("digest", "rep"), "digest")
+        joined = links.unionByName(
+            reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).select("a", F.explode("all").alias("b")).where("a <> b")
+        )
+    labels = connected(joined, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("c"))
+    # classes of one row that nothing is linked with need no label; texts without a shingle have no class at all
+    label = nodes.select("digest", "rep", "n").join(labels, "rep", "left").where("n > 1 or c is not null or rep is null")
+    label = cut(label.select("digest", F.coalesce("c", "rep").alias("c")))
+    out = some.select("doc_id", "n_shingles", "digest").join(label, "digest", "left").select("doc_id", "n_shingles", "c")
+    out = out.unionByName(base.where("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("c")))
     component = F.coalesce("c", "doc_id")
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
