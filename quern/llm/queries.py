@@ -89,15 +89,13 @@ FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
 def _op6() -> str:
     postings, facts = [], []
     for t, template in enumerate(licenses.BASE + licenses.KNOWN):
-        first, last = template.key
-        used = [(p, w, first <= p <= last) for p, w in enumerate(template.words) if first <= p <= last or len(w) > 3]
-        postings += [f"({t}, '{w}', {p}, {int(key)})" for p, w, key in used]
-        facts.append(f"({t}, '{template.label}', {len(used)}, {last - first + 1}, {str(template.base).lower()})")
+        postings += [f"({t}, '{w}', {p}, {int(key)})" for w, p, key in template.postings()]
+        facts.append(f"({t}, '{template.label}', {len(template.postings())}, {template.key[1] - template.key[0] + 1}, {str(template.base).lower()})")
     return f"""WITH postings(t, w, pos, key) AS (VALUES {', '.join(postings)}), facts(t, label, whole, keys, base) AS (VALUES {', '.join(facts)}),
 words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 hits AS (SELECT doc_id, i - 1 AS i, ws[i] AS w FROM words, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
 stands AS (SELECT doc_id, t, i - pos AS start, count(*) AS n, sum(key) AS k FROM hits JOIN postings USING (w) GROUP BY ALL),
-places AS (SELECT * FROM stands JOIN facts USING (t) WHERE start >= 0 AND k = keys AND n >= 0.6::DOUBLE * whole AND (NOT base OR n = whole)),
+places AS (SELECT * FROM stands JOIN facts USING (t) WHERE k = keys AND n >= 0.6::DOUBLE * whole AND (NOT base OR n = whole)),
 found AS (SELECT doc_id, count_if(base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
   max(n::DOUBLE / whole) AS score FROM places GROUP BY 1)

@@ -36,6 +36,32 @@ def test_license_places(spark):
     assert labels[304] == "cc-by,cc-by-nc" and labels[306] == "mit" and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_titles_at_the_start(spark):
+    """A text that opens with a licence's title, before which a template has words of its own."""
+    titles = {"GNU General Public License version 2, June 1991": "gpl,gpl-2.0", "Apache License Version 2.0, January 2004": "apache-2.0",
+              "GNU Lesser General Public License": "gpl,lgpl", "Mozilla Public License v. 2.0": "mpl-2.0"}
+    frame = spark.createDataFrame(list(enumerate(titles)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(frame).collect()}
+    assert got == {k: ("lgpl" if label == "gpl,lgpl" else label) for k, label in enumerate(titles.values())} or got == dict(enumerate(titles.values()))
+
+
+def test_rare_words_decide_what_is_read(spark):
+    """Common key words alone bring no alignment; looking up all key words reads more and finds the same."""
+    common = "the software is provided in source and binary public files with license for use "
+    texts = [common * 3 + f"x{k}" for k in range(200)]
+    texts += ["Redistribution and use in source and binary forms, with or without modification, are permitted", "x " * 9 + "General Public License, version 3", common + "altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    templates = licenses.BASE + licenses.KNOWN
+    base = licenses.hits(frame, sorted({w for t in templates for w, _, _ in t.postings()}))
+    frequency = {r["w"]: r["n"] for r in base.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    rare = licenses.alignments(base, templates, frequency).count()
+    every = licenses.alignments(base, templates, None).count()
+    assert rare <= 10 and every >= 2 * rare
+    got = licenses.scan(frame).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, licenses.scan(frame, rarest=False).collect()))
+    assert {r["doc_id"]: r["labels"] for r in got if r["labels"]} == {200: "bsd", 201: "gpl,gpl-3.0", 202: "zlib"}
+
+
 def test_odd_licenses(odd, none):
     rows = licenses.scan(odd).collect()
     assert sorted((r["doc_id"] or -1, r["n_words"]) for r in rows) == sorted((r["doc_id"] or -1, base(r["text"])[0]) for r in odd.collect())
