@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import present, text
+from quern.functions import present, text, urls
 from quern.operators import chunking, cleaning, models
 from quern.plans.registry import query, table
-from quern.sources import files, store
+from quern.sources import files
 from quern.sources.store import last_of_each, upserted, with_ids
 
 
@@ -24,19 +24,25 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINES = """lines AS (SELECT source AS doc, doc_id AS page, i AS line_no, trim(parts[i]) AS line
-  FROM (SELECT source, doc_id, string_split(text, chr(10)) AS parts FROM documents), range(1, 100000) r(i) WHERE i <= len(parts)),
+  FROM (SELECT source, doc_id, string_split(text, chr(10)) AS parts FROM documents), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)),
 total AS (SELECT source AS doc, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1),
 repeated AS (SELECT doc, line, count(DISTINCT page) AS pages FROM lines WHERE line <> '' GROUP BY ALL
   HAVING count(DISTINCT page) >= 2)"""
-_LINES = _LINES.replace("range(1, 100000) r(i) WHERE i <= len(parts)", "LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)")
 _NUMBER = "regexp_matches(line, '^(?:[-–—]?\\s*\\d+\\s*[-–—]?|[Pp]age\\s+\\d+(?:\\s+of\\s+\\d+)?)$')"
 _FLAGGED = "flagged AS (SELECT r.doc, r.line, r.pages FROM repeated r JOIN total t USING (doc) WHERE r.pages >= greatest(2, floor(t.n * 0.4::DOUBLE)))"
 _BODY = f"body AS (SELECT l.* FROM lines l WHERE line <> '' AND NOT {_NUMBER} AND NOT EXISTS (SELECT 1 FROM flagged f WHERE f.doc = l.doc AND f.line = l.line))"
 
 
-@query(f"WITH {_LINES}, {_FLAGGED} SELECT doc, line, pages::BIGINT AS pages FROM flagged")
+#: A host stands for a paged document, its pages for the pages: their lines of markup repeat.
+_PAGED = _LINES.replace("source", "host").replace("doc_id", "page_id").replace("text", "html").replace(
+    "FROM documents", "FROM (SELECT lower(regexp_extract(url, '^(?:[^:/?#]+:)?//([^/?#]*)', 1)) AS host, page_id, replace(html, '<', chr(10) || '<') AS html FROM pages)"
+)
+
+
+@query(f"WITH {_PAGED}, {_FLAGGED} SELECT doc, line, pages::BIGINT AS pages FROM flagged")
 def repeated_lines(spark, sf_dir):
-    return cleaning.repeated_lines(_lines(spark, sf_dir))
+    pages = table(spark, sf_dir, "pages").select(urls.netloc(F.col("url")).alias("doc"), F.col("page_id").alias("page"), F.posexplode(F.split(F.replace("html", F.lit("<"), F.lit("\n<")), "\n", -1)).alias("line_no", "line"))
+    return cleaning.repeated_lines(pages)
 
 
 @query(f"WITH {_LINES}, {_FLAGGED}, {_BODY} SELECT doc, page, (line_no - 1)::INTEGER AS line_no, line FROM body")
@@ -84,52 +90,32 @@ def header_footer_subtraction(spark, sf_dir):
 
 
 _PIECES = r"string_split(regexp_replace(text, '([.!?\x{2026}\x{203C}\x{2047}-\x{2049}])\s+(\p{Lu})', '\1' || chr(1) || '\2', 'g'), chr(1))"
-_SENTENCES = f"list_filter(list_transform({_PIECES}, lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')"
+SENTENCES = f"list_filter(list_transform({_PIECES}, lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')"
 
 
-@query(f"SELECT doc_id, (i - 1)::INTEGER AS pos, s[i] AS sentence FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)")
+@query(f"SELECT doc_id, (i - 1)::INTEGER AS pos, s[i] AS sentence FROM (SELECT doc_id, {SENTENCES} AS s FROM documents), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)")
 def sentences(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query(f"SELECT doc_id, len({_SENTENCES})::INTEGER AS n FROM documents")
+@query(f"SELECT doc_id, len({SENTENCES})::INTEGER AS n FROM documents")
 def sentence_counts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(text.sentences(F.col("text"))).alias("n"))
 
 
-_HEADER = "(?i)(?:" + "|".join(f"<h{k}[^>\\n]*>[^\\n]*?</h{k}>" for k in range(1, 7)) + ")"
+HEADER = "(?i)(?:" + "|".join(f"<h{k}[^>\\n]*>[^\\n]*?</h{k}>" for k in range(1, 7)) + ")"
 
 
 @query(
-    f"""SELECT page_id, (i - 1)::INTEGER AS pos, h[i] AS header, trim(b[i + 1]) AS body FROM (SELECT page_id, regexp_extract_all(html, '{_HEADER}') AS h,
-    string_split(regexp_replace(html, '{_HEADER}', chr(1), 'g'), chr(1)) AS b FROM pages), LATERAL (SELECT unnest(range(1, len(h) + 1)) AS i)"""
+    f"""SELECT page_id, (i - 1)::INTEGER AS pos, h[i] AS header, trim(b[i + 1]) AS body FROM (SELECT page_id, regexp_extract_all(html, '{HEADER}') AS h,
+    string_split(regexp_replace(html, '{HEADER}', chr(1), 'g'), chr(1)) AS b FROM pages), LATERAL (SELECT unnest(range(1, len(h) + 1)) AS i)"""
 )
 def header_sections(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(chunking.header_sections(F.col("html"))).alias("pos", "s"))
     return rows.select("page_id", "pos", "s.header", "s.body")
 
 
-def _chunked(spark, sf_dir, strategy: str) -> DataFrame:
-    return chunking.chunks(_docs(spark, sf_dir).select("doc_id", "text"), "text", chunking.splitter(strategy)).select("doc_id", "chunk_idx", "chunk")
-
-
-@query()
-def chunk_fixed(spark, sf_dir):
-    return _chunked(spark, sf_dir, "fixed_size")
-
-
-@query()
-def chunk_semantic(spark, sf_dir):
-    return _chunked(spark, sf_dir, "semantic")
-
-
-@query()
-def chunk_header(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    return chunking.chunks(pages, "html", chunking.splitter("header_based")).select("page_id", "chunk_idx", "chunk")
-
-
-@query(f"SELECT count(*)::BIGINT AS chunks, count(DISTINCT doc_id)::BIGINT AS docs FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)")
+@query(f"SELECT count(*)::BIGINT AS chunks, count(DISTINCT doc_id)::BIGINT AS docs FROM (SELECT doc_id, {SENTENCES} AS s FROM documents), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)")
 def chunk_totals(spark, sf_dir):
     rows = chunking.chunks(_docs(spark, sf_dir).select("doc_id", "text"), "text", text.sentences)
     return rows.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs"))
@@ -166,11 +152,6 @@ def exact_dup_groups(spark, sf_dir):
     return grouped.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-@query("SELECT source, count(*)::BIGINT AS chunks, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
-def chunks_per_url(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("chunks"), F.sum("n_chars").alias("chars"))
-
-
 @query("SELECT conv_id, turn, 'passage: ' || text AS passage, 'query: ' || text AS query FROM conversations")
 def prefix_passage(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
@@ -248,9 +229,3 @@ def pdf_pages(spark, sf_dir):
 def embed_documents(spark, sf_dir):
     rows = models.embedded(_docs(spark, sf_dir).select("doc_id", "text"), "text")
     return rows.where(F.size("embedding") == 64).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
-
-
-@query("SELECT d.doc_id, d.text AS document FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels)")
-def store_lookup(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("document"))
-    return rows.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quern.plans import corpus_queries, search_queries, url_queries  # noqa: F401
+    from quern.plans import chunk_queries, corpus_queries, search_queries, store_queries, url_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

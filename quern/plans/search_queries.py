@@ -40,13 +40,18 @@ def tokenize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.tokenize(F.col("text")).alias("tokens"))
 
 
-@query(f"WITH {_ALL}, {_BENCH}, {_BM25} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM vocab")
+@query(
+    f"""WITH counted AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1),
+    freq AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM counted, (SELECT count(*) AS n FROM documents)),
+    floor_ AS MATERIALIZED (SELECT 0.25 * avg(raw) AS low FROM freq)
+    SELECT term, df::BIGINT AS df, round(CASE WHEN raw < 0 THEN low ELSE raw END, 6) AS idf FROM freq, floor_"""
+)
 def bm25_vocab(spark, sf_dir):
     index = retrieval.BM25Index.build(_doc_rows(spark, sf_dir))
     return index.vocabulary.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query(f"WITH {_ALL}, {_BENCH}, {_BM25} SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl FROM stats")
+@query(f"SELECT count(*)::BIGINT AS n, round(sum(len({_TOKENS}))::DOUBLE / count(*), 6) AS avgdl FROM documents")
 def bm25_stats(spark, sf_dir):
     return retrieval.BM25Index.build(_doc_rows(spark, sf_dir)).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
@@ -106,15 +111,16 @@ def vector_normalize(spark, sf_dir):
 _FUSED = """dense AS (SELECT qid, id, exact, rank FROM near WHERE exact >= 0), fused AS (SELECT coalesce(d.qid, s.qid) AS qid, coalesce(d.id, s.id) AS id, d.rank AS dr, s.rank AS sr, round(d.exact, 4) AS similarity,
   coalesce(0.5::DOUBLE / (61 + d.rank), 0) + coalesce(0.5::DOUBLE / (61 + s.rank), 0) AS score FROM dense d FULL JOIN sparse s ON d.qid = s.qid AND d.id = s.id),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dr NULLS LAST, sr NULLS LAST) - 1 AS rank FROM fused)"""
-#: Documents that have an embedding of the same id make up the store; query i is benchmark text i with vector i.
-_STORE = """docs AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)), corpus AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+#: All documents make up the store; those without an embedding of the same id are found by their words only.  Query i is
+#: benchmark text i with vector i.
+_STORE = """docs AS (SELECT doc_id, text FROM documents), corpus AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
 qs AS (SELECT item_id AS qid, text AS query FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)), qv AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark))"""
 _OVERLAP = r"len(list_intersect(list_distinct(regexp_extract_all(lower(q.query), '[\p{L}\p{N}_]+')), regexp_extract_all(lower(d.text), '[\p{L}\p{N}_]+')))::DOUBLE / len(list_distinct(regexp_extract_all(lower(q.query), '[\p{L}\p{N}_]+')))"
 _HYBRID = f"WITH {_STORE}, {_BM25}, {_DENSE}, {_FUSED}"
 
 
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document")).join(_corpus(spark, sf_dir), "id")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document")).join(_corpus(spark, sf_dir), "id", "left")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +190,7 @@ def result_card(spark, sf_dir):
     )
 
 
-@query("SELECT 'healthy' AS status, count(*)::BIGINT AS document_count, true AS hybrid_enabled, true AS bm25_ready, true AS reranker_enabled, true AS reranker_ready FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+@query("SELECT 'healthy' AS status, count(*)::BIGINT AS document_count, true AS hybrid_enabled, true AS bm25_ready, true AS reranker_enabled, true AS reranker_ready FROM documents")
 def store_health(spark, sf_dir):
     store = _store(spark, sf_dir)
     return retrieval.health(store, _index(store))

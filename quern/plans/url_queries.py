@@ -15,9 +15,9 @@ from quern.sources import history as h
 from quern.sources import web
 
 _PATH = r"regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//[^/?#]*([^?#]*)', 1)"
-_NETLOC = "lower(regexp_extract(url, '^(?:[^:/?#]+:)?//([^/?#]*)', 1))"
+NETLOC = "lower(regexp_extract(url, '^(?:[^:/?#]+:)?//([^/?#]*)', 1))"
 _SKIP = "|".join(urls.SKIPPED_EXTENSIONS)
-_CLASS = (
+CLASS = (
     f"CASE WHEN regexp_matches(lower({_PATH}), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower({_PATH}), '\\.docx?$') THEN 'docx'"
     f" WHEN regexp_matches(lower({_PATH}), '\\.({_SKIP})$') THEN 'skip' ELSE 'html' END"
 )
@@ -28,13 +28,13 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
-@query(f"SELECT page_id, {_CLASS} AS type FROM pages")
+@query(f"SELECT page_id, {CLASS} AS type FROM pages")
 def url_classify(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", urls.classify(F.col("url")).alias("type"))
 
 
 @query(
-    f"""SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\\-]*):', 1)) AS scheme, {_NETLOC} AS netloc,
+    f"""SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\\-]*):', 1)) AS scheme, {NETLOC} AS netloc,
     {_PATH} AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment FROM pages"""
 )
 def url_parts(spark, sf_dir):
@@ -64,7 +64,7 @@ def url_filter_mode(spark, sf_dir):
     return kept("include").unionByName(kept("exclude"))
 
 
-@query(f"SELECT page_id, {_NETLOC} = lower('Blog.ththan.example.net') AS same FROM pages")
+@query(f"SELECT page_id, {NETLOC} = lower('Blog.ththan.example.net') AS same FROM pages")
 def same_domain(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", urls.same_domain(F.col("url"), "Blog.ththan.example.net").alias("same"))
 
@@ -74,7 +74,7 @@ def page_title(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", pages_html.raw_title(F.col("html")).alias("title"))
 
 
-@query(f"SELECT page_id, (i - 1)::INTEGER AS pos, hrefs[i] AS href FROM (SELECT page_id, {_HREFS} AS hrefs FROM pages), range(1, 10000) r(i) WHERE i <= len(hrefs)")
+@query(f"SELECT page_id, (i - 1)::INTEGER AS pos, hrefs[i] AS href FROM (SELECT page_id, {_HREFS} AS hrefs FROM pages), LATERAL (SELECT unnest(range(1, len(hrefs) + 1)) AS i)")
 def page_links(spark, sf_dir):
     return pages_html.native_links(_pages(spark, sf_dir).withColumn("u", F.struct("page_id", "url")), "url").join(
         _pages(spark, sf_dir).select("page_id", "url"), "url"
@@ -86,38 +86,49 @@ def page_links(spark, sf_dir):
       WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.\\-]*:') THEN h
       WHEN h LIKE '/%' THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || h END AS target
     FROM (SELECT page_id, url, i, regexp_replace(hrefs[i], '#.*$', '') AS h
-      FROM (SELECT page_id, url, {_HREFS} AS hrefs FROM pages), range(1, 10000) r(i) WHERE i <= len(hrefs))"""
+      FROM (SELECT page_id, url, {_HREFS} AS hrefs FROM pages), LATERAL (SELECT unnest(range(1, len(hrefs) + 1)) AS i))"""
 )
 def link_resolve(spark, sf_dir):
     found = _pages(spark, sf_dir).select("page_id", "url", F.posexplode(pages_html.links_of("html", "url")).alias("pos", "target"))
     return found.select("page_id", "pos", "target")
 
 
-_STRIPPED = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+STRIPPED = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 for _tag in pages_html.REMOVED:
-    _STRIPPED = f"regexp_replace({_STRIPPED}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', chr(10), 'g')"
+    STRIPPED = f"regexp_replace({STRIPPED}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', chr(10), 'g')"
 
 
-@query(
-    f"""SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(
-      regexp_extract({_STRIPPED}, '(?is)<article\\b[^>]*>(.*?)</article>', 1), '<[^>]*>', chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> ''), chr(10)) AS text FROM pages"""
-)
+TEXT = f"""array_to_string(list_filter(list_transform(string_split(regexp_replace(
+  regexp_extract({STRIPPED}, '(?is)<article\\b[^>]*>(.*?)</article>', 1), '<[^>]*>', chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> ''), chr(10))"""
+
+
+def decoded(sql: str) -> str:
+    """SQL of a text with the references that the pages hold decoded; the ampersand's comes last."""
+    for name, code in (("nbsp", 160), ("lt", 60), ("gt", 62), ("quot", 34), ("#39", 39), ("mdash", 8212), ("ndash", 8211), ("hellip", 8230), ("eacute", 233), ("copy", 169), ("rsquo", 8217), ("amp", 38)):
+        sql = f"replace({sql}, '&{name};', chr({code}))"
+    return sql
+
+
+@query(f"SELECT page_id, {TEXT} AS text FROM pages")
 def html_text_native(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", pages_html.native_text(F.col("html")).alias("text"))
 
 
-@query()
+_TITLE = "trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
+
+
+@query(f"SELECT page_id, coalesce(nullif({decoded(_TITLE)}, ''), url) AS title, {decoded(TEXT)} AS text FROM pages")
 def html_text(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", pages_html.title(F.col("html"), F.col("url")).alias("title"), pages_html.text_of("html").alias("text"))
 
 
-@query(f"SELECT count(*)::BIGINT AS resources, count(DISTINCT {_NETLOC})::BIGINT AS hosts FROM pages WHERE {_CLASS} = 'html'")
+@query(f"SELECT count(*)::BIGINT AS resources, count(DISTINCT {NETLOC})::BIGINT AS hosts FROM pages WHERE {CLASS} = 'html'")
 def resource_summary(spark, sf_dir):
     fetched = _pages(spark, sf_dir).select("url", urls.classify(F.col("url")).alias("type"), F.col("html").alias("body"))
     return pages_html.resources(fetched).agg(F.count("*").alias("resources"), F.countDistinct(urls.netloc(F.col("meta.url"))).alias("hosts"))
 
 
-_RANKED = f"SELECT {_NETLOC} AS site, regexp_replace(url, '/+$', '') AS url, row_number() OVER (PARTITION BY {_NETLOC} ORDER BY page_id) - 1 AS r FROM pages"
+_RANKED = f"SELECT {NETLOC} AS site, regexp_replace(url, '/+$', '') AS url, row_number() OVER (PARTITION BY {NETLOC} ORDER BY page_id) - 1 AS r FROM pages"
 
 
 def _site_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -133,7 +144,7 @@ _CRAWL = f"""WITH RECURSIVE ranked AS ({_RANKED}), walk(site, r, depth) AS (
   SELECT site, r, 0 FROM ranked WHERE r = 0
   UNION SELECT w.site, k.r, w.depth + 1 FROM walk w JOIN ranked k ON k.site = w.site AND k.r IN (2 * w.r + 1, 2 * w.r + 2, 0) WHERE w.depth < 3
 ), least AS (SELECT site, r, min(depth) AS depth FROM walk GROUP BY ALL), crawled AS (
-  SELECT site, url, {_CLASS} AS type, depth::INTEGER AS depth, row_number() OVER (PARTITION BY site ORDER BY depth, r) AS seq FROM least JOIN ranked USING (site, r))
+  SELECT site, url, {CLASS} AS type, depth::INTEGER AS depth, row_number() OVER (PARTITION BY site ORDER BY depth, r) AS seq FROM least JOIN ranked USING (site, r))
 """
 
 
@@ -161,7 +172,7 @@ def fetch_snapshot(spark, sf_dir):
     return web.fetch_snapshot(pages.select("page_id", "url"), pages.where("page_id % 3 <> 0")).select("page_id", F.col("html").isNotNull().alias("fetched"))
 
 
-@query()
+@query(f"SELECT page_id, url FROM pages WHERE {NETLOC} <> 'thther.example.org' AND NOT ({NETLOC} = 'blog.ththan.example.net' AND starts_with({_PATH}, '/fr'))")
 def robots_filter(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     rules = {"blog.ththan.example.net": "User-agent: *\nDisallow: /fr\nAllow: /", "thther.example.org": "User-agent: *\nDisallow: /"}

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import urls
+
 AGENT = "Mozilla/5.0 (compatible; quern/1.0)"
 
 
@@ -48,7 +50,7 @@ def robots_allowed(url: Column, robots: dict[str, str], agent: str = AGENT) -> C
     parsers: dict[str, RobotFileParser] = {}
 
     @F.pandas_udf("boolean")
-    def run(urls: pd.Series) -> pd.Series:
+    def run(found: pd.Series) -> pd.Series:
         from urllib.parse import urlparse
 
         def one(u: str | None) -> bool:
@@ -60,6 +62,32 @@ def robots_allowed(url: Column, robots: dict[str, str], agent: str = AGENT) -> C
                 parsers[host].parse(robots[host].splitlines())
             return parsers[host].can_fetch(agent, u)
 
-        return urls.map(one)
+        return found.map(one)
 
     return run(url)
+
+
+def with_allowed(wanted: DataFrame, robots: DataFrame, agent: str = AGENT) -> DataFrame:
+    """wanted (url, ...) with allowed, by a table of fetched robots texts (host, robots), a row per host.
+
+    A host that the table lacks, or whose text is null because fetching failed, allows everything.  A worker parses a
+    text once for each batch in which it comes.
+    """
+
+    @F.pandas_udf("boolean")
+    def run(urls_: pd.Series, texts: pd.Series) -> pd.Series:
+        parsers: dict[str, RobotFileParser] = {}
+
+        def one(url: str | None, text: str | None) -> bool:
+            if text is None or url is None:
+                return True
+            if text not in parsers:
+                parsers[text] = RobotFileParser()
+                parsers[text].parse(text.splitlines())
+            return parsers[text].can_fetch(agent, url)
+
+        return pd.Series([one(u, t) for u, t in zip(urls_, texts)], dtype=bool)
+
+    others = [F.col(f"`{c}`") for c in wanted.columns if c != "allowed"]
+    joined = wanted.select(*others, urls.netloc(F.col("url")).alias("host_")).join(robots.select(F.col("host").alias("host_"), F.col("robots").alias("robots_")), "host_", "left")
+    return joined.select(*others, run(F.col("url"), F.col("robots_")).alias("allowed"))
