@@ -169,8 +169,16 @@ def _unwanted(node: Node, inside: bool) -> bool:
     return False
 
 
+def _kind(node: Node) -> str:
+    """Tag, class and role of an element: what pages of one template share; ids, addresses and styles vary from page to page."""
+    if not node.attrs:
+        return node.tag
+    attributes = _attributes(node)
+    return f"{node.tag} {' '.join(sorted(attributes.get('class', '').split()))} {attributes.get('role', '')}"
+
+
 def subtree_hashes(node: Node, out: dict[int, int]) -> int:
-    """Hash of a subtree by tag, attributes and contents; out gets it by id(node) for every block element."""
+    """Hash of a subtree by kind and contents; out gets it by id(node) for every element that holds text or elements."""
     todo: list[tuple[Node, bool]] = [(node, False)]
     hashes: dict[int, int] = {}
     while todo:  # no recursion: pages nest as deep as they like
@@ -179,11 +187,13 @@ def subtree_hashes(node: Node, out: dict[int, int]) -> int:
             todo.append((at, True))
             todo.extend((c, False) for c in at.children if not isinstance(c, str))
             continue
-        parts = [at.tag, at.attrs.strip()]
+        parts = [_kind(at)]
         for c in at.children:
-            parts.append(" ".join(c.split()) if isinstance(c, str) else f"<{hashes.pop(id(c)):x}>")
+            part = " ".join(c.split()) if isinstance(c, str) else f"<{hashes.pop(id(c)):x}>"
+            if part:
+                parts.append(part)
         hashes[id(at)] = h = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) >> 1
-        if at.tag in _BLOCK:
+        if at.children:
             out[id(at)] = h
     return hashes[id(node)]
 
@@ -348,10 +358,11 @@ def host_templates(pages: DataFrame, least: int = 4, share: float = 0.5, sure_le
 
 
 def extract(pages: DataFrame, **parameters) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages (page_id, url, html; others are ignored).
+    """page_id, url, text, n_chars of every row of pages (page_id, url, html; others are ignored, whatever their names).
 
-    A null or empty html gives an empty text; a null or odd url belongs to the host "".  Rows of one
-    host that repeat a page's text count as one page.  Character references are decoded, white space inside a block becomes one space, blocks are joined by \\n.
+    A null or empty html gives an empty text; a null or odd url belongs to the host ""; an empty table gives no rows.
+    Rows of one host that repeat a page's text count as one page, each is extracted by itself, null ids too.  Character
+    references are decoded, white space inside a block becomes one space, blocks are joined by \\n.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

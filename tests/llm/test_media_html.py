@@ -2,6 +2,7 @@ import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -214,3 +215,28 @@ def test_recurring_parts_go(spark):
     rows = [(k, "https://a.example/", page.format(k=k)) for k in range(12)]
     got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Own 3\nText 3."
+
+
+def test_templates_alone_decide(spark):
+    """No tag, role or class tells the parts apart: a subtree goes for recurring on its host, whatever its addresses and ids."""
+    page = (
+        "<body id='p{k}'><div><span>The daily herald</span> <a href='/?from={k}'>Front page</a></div><div><p>Story {k} begins.</p><p>It goes on, {k}.</p></div>"
+        "<div style='width:{k}px'><a href='/x/{k}' data-k={k}>Most read</a><span id=s{k}>Write to us</span></div></body>"
+    )
+    rows = [(k, f"https://{'ab'[k % 2]}.example/{k}", page.format(k=k)) for k in range(16)]
+    rows += [(100, "https://alone.example/", page.format(k=100))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(frame).collect()}
+    assert all(got[k] == f"Story {k} begins.\nIt goes on, {k}." for k in range(16))
+    assert got[100].startswith("The daily herald") and got[100].endswith("Write to us")  # a host of one page has no template
+    # the counts, per host, by hand
+    count, pages = Counter(), Counter()
+    for _, url, source in rows:
+        found = {}
+        htmltext.subtree_hashes(htmltext.parse(source), found)
+        name = url.split("/")[2]
+        pages[name] += 1
+        count.update((name, h) for h in set(found.values()))
+    want = {name: {h for (m, h), n in count.items() if m == name and n >= max(4, 0.5 * pages[name])} for name in pages}
+    made = {r["host"]: set(r["templates"] or ()) for r in htmltext.host_templates(frame).collect()}
+    assert made == want and len(want["a.example"]) == 6 and not want["alone.example"]
