@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from quern.llm import jpeg
-from quern.llm.common import arrow_batches
+from quern.llm.common import arrow_batches, worker_free
 
 #: Payloads are filled up with bytes 255 to a positive multiple of this.
 UNIT = 576
@@ -23,9 +22,13 @@ def _padded(raw: bytes) -> bytes:
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes (of the text as UTF-8), media (the file) for every row of docs; a null text is empty."""
+    """doc_id, n_bytes (of the text as UTF-8), media (the file) for every row of docs (doc_id, text; others are ignored).
+
+    A null text is empty and has a file too; null ids pass, repeated rows have a file each, an empty table none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_free()
         for batch in batches:
             raw = [v.as_buffer().to_pybytes() if v.is_valid else b"" for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -39,61 +42,57 @@ def encoded(docs: DataFrame) -> DataFrame:
     )
 
 
-def tensors(files: DataFrame) -> DataFrame:
-    """files (media) with height, width and rgb (rows of pixels, three bytes each) added; null media give nulls."""
-
-    @F.pandas_udf("height int, width int, rgb binary")
-    def decode(media):
-        import pandas as pd
-
-        rows = []
-        for m in media:
-            pixels = None if m is None else jpeg.rgb(jpeg.read(m))
-            rows.append((None, None, None) if pixels is None else (pixels.shape[0], pixels.shape[1], pixels.tobytes()))
-        return pd.DataFrame(rows, columns=["height", "width", "rgb"])
-
-    others = [F.col(f"`{c}`") for c in files.columns if c.lower() not in ("height", "width", "rgb", "quern_decoded")]
-    shown = files.select(*others, decode("media").alias("quern_decoded"))
-    return shown.select(*others, "quern_decoded.height", "quern_decoded.width", "quern_decoded.rgb")
-
-
-def feature(pixels: np.ndarray) -> str:
-    """Size, mean and spread of each channel, and a checksum of the whole tensor."""
+def statistics(pixels: np.ndarray) -> list[int]:
+    """Mean and variance, rounded down, of each channel of a tensor."""
     flat = pixels.reshape(-1, 3)
     n, total = len(flat), flat.sum(axis=0, dtype=np.int64)
     square = np.einsum("ij,ij->j", flat, flat, dtype=np.int64, casting="unsafe")
-    mean, spread = total // n, (square - total * total // n) // n
-    channels = ".".join(f"{int(m):02x}{int(s):04x}" for m, s in zip(mean, spread))
-    return f"{pixels.shape[1]}x{pixels.shape[0]}-{channels}-{zlib.crc32(np.ascontiguousarray(pixels)):08x}"
+    return np.stack([total // n, (square - total * total // n) // n], axis=1).ravel().tolist()
 
 
-def inspected(files: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+def tensors(files: DataFrame) -> DataFrame:
+    """files (media) with payload, height, width, rgb (rows of pixels, three bytes each) and channels (statistics()) added.
 
-    Everything but doc_id and n_bytes is computed from the stored file: the payload from its coefficients, the feature
-    from its RGB tensor.
+    All are read from the stored file: the payload from its coefficients, the tensor by inverse transform and
+    upsampling.  Columns of files with these names are replaced, others pass; null media give nulls; an empty table
+    gives no rows, and repeated rows are decoded each by itself.
     """
+    others = [c for c in files.columns if c.lower() not in ("payload", "height", "width", "rgb", "channels", "media")]
+    schema = files.select(*[F.col(f"`{c}`") for c in others], "media").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_free()
+        types = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
         for batch in batches:
             rows = []
-            for value in batch.column(2):
-                media = value.as_buffer().to_pybytes()
-                image = jpeg.read(media)
-                back = jpeg.payload(image)
-                rows.append((
-                    len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media),
-                    hashlib.sha256(media).hexdigest(), feature(jpeg.rgb(image)),
-                ))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            for value in batch.column(len(others)):
+                if not value.is_valid:
+                    rows.append((None,) * 5)
+                    continue
+                image = jpeg.read(value.as_buffer().to_pybytes())
+                pixels = np.ascontiguousarray(jpeg.rgb(image))
+                rows.append((jpeg.payload(image), pixels.shape[0], pixels.shape[1], pixels.tobytes(), statistics(pixels)))
+            columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types))],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                [*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types))], names=[*batch.schema.names, "payload", "height", "width", "rgb", "channels"]
             )
 
-    return files.select("doc_id", "n_bytes", "media").mapInArrow(
-        run,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
-        " media_sha256 string, feature string",
+    added = {"payload": BinaryType(), "height": IntegerType(), "width": IntegerType(), "rgb": BinaryType(), "channels": ArrayType(LongType())}
+    schema = StructType([*schema.fields, *(StructField(name, kind) for name, kind in added.items())])
+    arrow_batches(files.sparkSession, 256, 2 << 20)
+    return files.select(*[F.col(f"`{c}`") for c in others], "media").mapInArrow(run, schema)
+
+
+def inspected(files: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    Digests of the columns of tensors(): of the payload and the file, and as feature the tensor's size, the mean and
+    variance of its channels and a checksum of all its bytes.
+    """
+    shown = tensors(files.select("doc_id", "n_bytes", "media"))
+    return shown.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws("-", F.concat_ws("x", "width", "height"), F.array_join(F.transform("channels", lambda c: c.cast("string")), "."), F.lower(F.hex(F.crc32("rgb")))).alias("feature"),
     )
