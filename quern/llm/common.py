@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Callable, Iterator
 from typing import TypeVar
@@ -71,12 +70,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files of tables that nothing refers to any more, before more disk is used."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def code_points(text: Column) -> Column:
     return F.coalesce(F.length(text), F.lit(0)).cast("long")
 

@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kernels
-from quern.llm.common import arrow_batches, crc_mod, cut, release, text_slices, worker_free
+from quern.llm.common import arrow_batches, crc_mod, cut, text_slices, worker_free
 
 _U = np.uint64
 #: What the end of a text counts under among the word hashes.
 END = int(kernels.mix(np.array([0x5151], dtype=_U))[0])
 #: Text bytes of a shard (a longer text is a shard of its own), and keys that a bucket gets, about.
-SHARD_BYTES, BUCKET_KEYS = 8 << 20, 2_000_000
+SHARD_BYTES, BUCKET_KEYS = 16 << 20, 2_000_000
 ORDERS = (1, 2, 3)
 #: Leading bits of a longer n-gram's hash that tell it from the others in its bucket; words keep all 64.
 KEY_BITS = 40
@@ -314,9 +314,6 @@ def score(docs: DataFrame, learn: Column, buckets: int | None = None, shard_byte
         buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * tokens // BUCKET_KEYS)
     sent = blocks.drop("doc_ids", "tokens").mapInArrow(_sender(buckets), _SENT)
     totals = cut(sent.groupBy("bucket").applyInArrow(_total, _BACK))
-    # the n-grams that were sent are no longer needed; their files go when the driver's garbage is collected
-    del sent
-    release(spark)
     # twelve sums come to the driver
     found = totals.where("shard < 0").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(4 * len(ORDERS))]).first()
     model = model_of(np.array([x or 0 for x in found], dtype=np.int64).reshape(len(ORDERS), 4))

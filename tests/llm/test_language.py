@@ -126,7 +126,7 @@ def agree(row, want):
     assert abs(row["base_score"] - want[3]) <= 1e-9 * abs(want[3]) and abs(row["score"] - want[4]) <= 1e-9 * abs(want[4])
 
 
-@pytest.mark.parametrize("shard,buckets", [(8 << 20, None), (20_000, 3)])
+@pytest.mark.parametrize("shard,buckets", [(16 << 20, None), (20_000, 3)])
 def test_scores_against_brute_force(docs, shard, buckets):
     rows = {r["doc_id"]: r for r in langmodel.score(docs, langmodel.trainable(F.col("doc_id")), buckets, shard).collect()}
     texts = {r["doc_id"]: words_of(r["text"]) for r in docs.collect()}
