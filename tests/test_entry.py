@@ -13,7 +13,8 @@ ROOT = Path(__file__).resolve().parent.parent
 CORE = registry.queries()
 #: Cheap ones with SQL, run here on the smallest tables; all run against their SQL at sf0.01 outside the suite.
 CHECKED = ["url_classify", "url_parts", "link_resolve", "crawl_bfs", "history_upsert", "sentences", "chunk_ids", "upsert_last_wins", "strip_repeated_lines",
-           "bm25_multiquery", "dense_multiquery", "rrf_fuse", "hybrid_reranked", "llm_parse", "result_card"]
+           "bm25_multiquery", "dense_multiquery", "rrf_fuse", "hybrid_reranked", "llm_parse", "result_card", "chunk_fixed", "chunk_semantic", "chunk_header", "html_text", "robots_table", "store_lookup",
+           "ingest_store", "ingest_history", "repeated_lines", "bm25_vocab"]
 
 
 def test_sql_belongs_to_queries():
