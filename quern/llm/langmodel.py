@@ -32,6 +32,8 @@ from quern.llm import kernels
 from quern.llm.common import arrow_batches, crc_mod, cut, text_slices, worker_free
 
 _U = np.uint64
+#: Hashes of pairs and triples are even.
+_EVEN = ~_U(1)
 #: What the end of a text counts under among the word hashes.
 END = int(kernels.mix(np.array([0x5151], dtype=_U))[0])
 #: Text bytes of a shard (a longer text is a shard of its own), and keys that a bucket gets, about.
@@ -203,19 +205,26 @@ class _Grams:
         with np.errstate(over="ignore"):
             mixed = kernels.mix(self.words)
             self.pairs = np.zeros(len(tokens), dtype=_U)
-            self.pairs[self.second] = kernels.mix(mixed[self.tokens[self.second - 1]] + self.words[self.tokens[self.second]])
-            self.triples = kernels.mix(kernels.mix(self.pairs[self.third - 1]) + self.words[self.tokens[self.third]])
+            self.pairs[self.second] = kernels.mix(mixed[self.tokens[self.second - 1]] + self.words[self.tokens[self.second]]) & _EVEN
+            self.triples = kernels.mix(kernels.mix(self.pairs[self.third - 1]) + self.words[self.tokens[self.third]]) & _EVEN
 
-    def distinct(self, order: int) -> np.ndarray:
-        return self.words if order == 1 else np.unique(self.pairs[self.second] if order == 2 else self.triples)
+    def placed(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys, and the place among them of each position that has one."""
+        if order == 1:
+            return self.words, self.tokens
+        return np.unique(self.pairs[self.second] if order == 2 else self.triples, return_inverse=True)
 
     def counted(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys, and how often each stands in training texts."""
-        keys = self.distinct(order)
         if order == 1:
-            return keys, np.bincount(self.tokens[self.learn], minlength=len(keys))
-        learnt = np.sort(self.pairs[self.second[self.learn[self.second]]] if order == 2 else self.triples[self.learn[self.third]])
-        return keys, np.searchsorted(learnt, keys, "right") - np.searchsorted(learnt, keys, "left")
+            return self.words, np.bincount(self.tokens[self.learn], minlength=len(self.words))
+        keys, at = (self.pairs[self.second], self.second) if order == 2 else (self.triples, self.third)
+        # the lowest bit carries whether a position is learnt from, so one sort does for keys and counts
+        keys = np.sort(keys | self.learn[at])
+        learnt = keys & _U(1)
+        keys ^= learnt
+        first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        return keys[first], np.add.reduceat(learnt.astype(np.int64), first) if len(first) else first
 
 
 def _sender(buckets: int):
@@ -281,17 +290,16 @@ def _traverse(m: Model, buckets: int, block: dict, arcs: pa.Table) -> tuple[np.n
     base = np.log10((c + 1) / (m.tokens + 1 * (m.words + 1)))
     # the root's arcs, then those of the states of one word and of two where the text has such a state
     p = np.where(c > 0, (c - m.discount) / max(1, m.tokens), m.unknown)
-    keys = grams.distinct(2)
+    keys, place = grams.placed(2)
     pair = np.zeros(len(c))
     if len(keys):
-        pair[grams.second] = totals(2, keys)[np.searchsorted(keys, grams.pairs[grams.second])]
+        pair[grams.second] = totals(2, keys)[place]
         s = m.strengths[0]
         p[grams.second] = (pair[grams.second] + s * p[grams.second]) / (c[grams.second - 1] + s)
-    keys = grams.distinct(3)
+    keys, place = grams.placed(3)
     if len(keys):
-        triple = totals(3, keys)[np.searchsorted(keys, grams.triples)]
         s = m.strengths[1]
-        p[grams.third] = (triple + s * p[grams.third]) / (pair[grams.third - 1] + s)
+        p[grams.third] = (totals(3, keys)[place] + s * p[grams.third]) / (pair[grams.third - 1] + s)
     logs = np.log10(np.minimum(p, 1.0))
     starts = grams.starts
     return grams.sizes + 1, np.add.reduceat(c > 0, starts, dtype=np.int64), np.add.reduceat(base, starts), np.add.reduceat(logs, starts)
