@@ -44,7 +44,7 @@ KEY_BITS = 40
 #: Shards of a task have numbers from partition << SHARD_BITS on.
 SHARD_BITS = 32
 
-_BLOCKS = "shard long, tokens long, doc_ids array<long>, learn binary, sizes binary, ids binary, vocabulary binary"
+_BLOCKS = "shard long, tokens long, doc_ids array<long>, learn binary, sizes binary, ids binary, words int, vocabulary binary"
 _SENT = "bucket long, shard long, " + ", ".join(f"n{o} int, k{o} binary, c{o} binary" for o in ORDERS)
 _BACK = "bucket long, shard long, " + ", ".join(f"t{o} binary" for o in ORDERS) + ", stats array<long>"
 _SCORED = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -77,39 +77,11 @@ def model_of(stats: np.ndarray) -> Model:
     return Model(tokens, words, discount, (strength(words, pairs[0], pairs[2]), strength(pairs[1], triples[0], triples[2])))
 
 
-def _short(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold the largest."""
-    most = int(counts.max()) if len(counts) else 0
-    return counts.astype(next(t for t in ("<u1", "<u2", "<u4", "<i8") if most <= np.iinfo(t).max)).tobytes()
-
-
-def _long(raw: bytes, n: int) -> np.ndarray:
-    """What _short() made of n counts."""
-    if not n:
-        return np.zeros(0, dtype="<i8")
-    return np.frombuffer(raw, dtype=("<u1", "<u2", "<u4", "<i8")[(len(raw) // n).bit_length() - 1]).astype("<i8")
-
-
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets by the leading bits of a key, so that sorted keys have sorted buckets."""
     return (((keys >> _U(40)) * _U(buckets)) >> _U(24)).astype(np.int64)
 
 
-def _write_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences, each in four bytes if that is enough for all, else in eight."""
-    steps = np.diff(keys, prepend=_U(0))
-    head, rest = steps[:1], steps[1:]
-    return head.astype("<u8").tobytes() + rest.astype("<u4" if not len(rest) or rest.max() < 1 << 32 else "<u8").tobytes()
-
-
-def _read_keys(raw: bytes, n: int) -> np.ndarray:
-    """What _write_keys() made of n keys."""
-    rest = np.frombuffer(raw, dtype="<u4" if len(raw) == 4 + 4 * n else "<u8", offset=8 if len(raw) == 4 + 4 * n else 0)
-    if len(raw) == 4 + 4 * n:
-        rest = np.concatenate([np.frombuffer(raw, dtype="<u8", count=1), rest])
-    return np.cumsum(rest, dtype=_U)
-
-
 def _packed(raw: bytes) -> bytes:
     return pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
 
@@ -118,23 +90,43 @@ def _unpacked(raw: bytes, size: int) -> bytes:
     return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True) if raw else b""
 
 
-def _wide(counts: np.ndarray) -> bytes:
-    """A byte that tells the width, then counts as _short() has them, compressed: most are 1."""
-    raw = _short(counts)
-    return bytes([len(raw) // len(counts)]) + _packed(raw) if len(counts) else b""
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers of `width` bytes by byte, each with its length before it: low bytes are noise, high ones are nearly all 0."""
+    parts = [_packed(plane.tobytes()) if plane.any() else b"" for plane in numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T]
+    return b"".join(len(part).to_bytes(4, "little") + part for part in parts)
+
 
+def _from_planes(raw: bytes, n: int, width: int) -> np.ndarray:
+    planes, at = np.zeros((n, width), dtype=np.uint8), 0
+    for k in range(width):
+        size = int.from_bytes(raw[at : at + 4], "little")
+        if size:
+            planes[:, k] = np.frombuffer(_unpacked(raw[at + 4 : at + 4 + size], n), dtype=np.uint8)
+        at += 4 + size
+    return planes.reshape(-1).view(f"<u{width}")
 
-def _narrow(raw: bytes, n: int) -> np.ndarray:
-    return _long(_unpacked(raw[1:], raw[0] * n), n) if n else np.zeros(0, dtype="<i8")
+
+def _write_keys(keys: np.ndarray) -> bytes:
+    """Keys as their differences, which are small where keys are sorted; where they fall, differences wrap around."""
+    return _planes(np.diff(keys, prepend=_U(0)), 8)
+
+
+def _read_keys(raw: bytes, n: int) -> np.ndarray:
+    """What _write_keys() made of n keys."""
+    return np.cumsum(_from_planes(raw, n, 8), dtype=_U)
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers of four bytes by byte, all first bytes first: high ones are nearly all 0 and take no room."""
-    return _packed(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def _write_counts(counts: np.ndarray) -> bytes:
+    """A byte that tells the width, then counts in the fewest bytes that hold the largest, compressed: most are 1."""
+    if not len(counts):
+        return b""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max()) >> 8 * w == 0)
+    return bytes([width]) + _packed(counts.astype(f"<u{width}").tobytes())
 
 
-def _from_planes(raw: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(_unpacked(raw, 4 * n), dtype=np.uint8).reshape(4, n).T).reshape(-1).view("<u4")
+def _read_counts(raw: bytes, n: int) -> np.ndarray:
+    """What _write_counts() made of n counts."""
+    return np.frombuffer(_unpacked(raw[1:], raw[0] * n), dtype=f"<u{raw[0]}").astype("<i8") if n else np.zeros(0, dtype="<i8")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -149,6 +141,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
     def block() -> pa.RecordBatch:
         words = np.concatenate([h for h, _ in held])
         sizes = np.concatenate([n for _, n in held])
+        # words of one frequency stay sorted, so their differences are small
         found, where, counts = np.unique(words, return_inverse=True, return_counts=True)
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(found), dtype="<u4")
@@ -158,8 +151,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             [pa.array([shard], pa.int64()), pa.array([len(words) + len(sizes)], pa.int64()),
              pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids),
              pa.array([np.concatenate(learn).astype(np.uint8).tobytes()], pa.binary()), pa.array([sizes.astype("<i8").tobytes()], pa.binary()),
-             pa.array([_planes(rank[where])], pa.binary()), pa.array([found[order].astype("<u8").tobytes()], pa.binary())],
-            names=["shard", "tokens", "doc_ids", "learn", "sizes", "ids", "vocabulary"],
+             pa.array([_planes(rank[where], 4)], pa.binary()), pa.array([len(found)], pa.int32()), pa.array([_write_keys(found[order])], pa.binary())],
+            names=["shard", "tokens", "doc_ids", "learn", "sizes", "ids", "words", "vocabulary"],
         )
 
     for batch in batches:
@@ -180,9 +173,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
 class _Grams:
     """The n-grams of a block: sorted distinct keys of each order, and positions that begin a text or follow one token."""
 
-    def __init__(self, learn: bytes, sizes: bytes, ids: bytes, vocabulary: bytes) -> None:
-        words = np.frombuffer(vocabulary, dtype="<u8")
-        self.sizes = np.frombuffer(sizes, dtype="<i8")
+    def __init__(self, block: dict) -> None:
+        words = _read_keys(block["vocabulary"], block["words"])
+        self.sizes = np.frombuffer(block["sizes"], dtype="<i8")
         ends = np.cumsum(self.sizes + 1) - 1
         self.starts = ends - self.sizes
         n = int(self.sizes.sum())
@@ -190,13 +183,13 @@ class _Grams:
         is_end[ends] = True
         tokens = np.empty(len(is_end), dtype=np.int64)
         tokens[is_end] = len(words)
-        tokens[~is_end] = _from_planes(ids, n)
+        tokens[~is_end] = _from_planes(block["ids"], n, 4)
         hashes = np.concatenate([words, np.array([END], dtype=_U)])
         order = np.argsort(hashes, kind="stable")
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         self.words, self.tokens = hashes[order], place[tokens]  # a token's place among the sorted words
-        self.learn = np.repeat(np.frombuffer(learn, dtype=np.uint8).astype(bool), self.sizes + 1)
+        self.learn = np.repeat(np.frombuffer(block["learn"], dtype=np.uint8).astype(bool), self.sizes + 1)
         first, second = np.zeros(len(tokens), dtype=bool), np.zeros(len(tokens), dtype=bool)
         first[self.starts] = True
         second[(self.starts + 1)[self.sizes > 0]] = True
@@ -235,7 +228,7 @@ def _sender(buckets: int):
         worker_free()
         for batch in batches:
             for row in batch.to_pylist():
-                grams = _Grams(row["learn"], row["sizes"], row["ids"], row["vocabulary"])
+                grams = _Grams(row)
                 columns, full = [], np.zeros(buckets, dtype=bool)
                 for order in ORDERS:
                     keys, counts = grams.counted(order)
@@ -250,7 +243,7 @@ def _sender(buckets: int):
                     for keys, counts, bounds in columns:
                         arrays.append(pa.array([int(bounds[b + 1] - bounds[b]) for b in part], pa.int32()))
                         arrays.append(pa.array([_write_keys(keys[bounds[b] : bounds[b + 1]]) for b in part], pa.binary()))
-                        arrays.append(pa.array([_short(counts[bounds[b] : bounds[b + 1]]) for b in part], pa.binary()))
+                        arrays.append(pa.array([_write_counts(counts[bounds[b] : bounds[b + 1]]) for b in part], pa.binary()))
                     yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _SENT.split(", ")])
 
     return run
@@ -263,12 +256,12 @@ def _total(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     back, stats = [], []
     for order in ORDERS:
         keys = [_read_keys(k, n) for k, n in zip(table.column(f"k{order}").to_pylist(), table.column(f"n{order}").to_pylist())]
-        counts = np.concatenate([_long(c, len(k)) for c, k in zip(table.column(f"c{order}").to_pylist(), keys)])
+        counts = np.concatenate([_read_counts(c, len(k)) for c, k in zip(table.column(f"c{order}").to_pylist(), keys)])
         bounds = np.cumsum([0, *map(len, keys)])
         found, where = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(where, weights=counts, minlength=len(found)).astype("<i8")
         own = totals[where]
-        back.append([_wide(own[i:j]) for i, j in zip(bounds[:-1], bounds[1:])] + [b""])
+        back.append([_write_counts(own[i:j]) for i, j in zip(bounds[:-1], bounds[1:])] + [b""])
         stats += [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())]
     bucket = table.column("bucket")[0].as_py()
     arrays = [pa.array([bucket] * (len(shards) + 1), pa.int64()), pa.array([*shards, -1], pa.int64())]
@@ -278,13 +271,13 @@ def _total(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _traverse(m: Model, buckets: int, block: dict, arcs: pa.Table) -> tuple[np.ndarray, ...]:
     """Per text of a block: tokens, known tokens, base score, and the automaton's log10 probability."""
-    grams = _Grams(block["learn"], block["sizes"], block["ids"], block["vocabulary"])
+    grams = _Grams(block)
     arcs = arcs.sort_by("bucket")
     at = arcs.column("bucket").to_numpy()
 
     def totals(order: int, keys: np.ndarray) -> np.ndarray:
         own = np.bincount(_bucket_of(keys, buckets), minlength=buckets)[at]
-        return np.concatenate([_narrow(raw, int(n)) for raw, n in zip(arcs.column(f"t{order}").to_pylist(), own)]).astype(np.float64)
+        return np.concatenate([_read_counts(raw, int(n)) for raw, n in zip(arcs.column(f"t{order}").to_pylist(), own)]).astype(np.float64)
 
     c = totals(1, grams.words)[grams.tokens]
     base = np.log10((c + 1) / (m.tokens + 1 * (m.words + 1)))
