@@ -36,29 +36,34 @@ class WordTokenizer:
     """Ids of texts by a tokenizer's file, word by word with a bounded cache.
 
     White space always separates tokens of this tokenizer and each piece is encoded by itself, so the ids of a text are
-    those of its words.  Pieces that the cache lacks are encoded together, as one text with blanks between them.  Texts
-    with characters for which Python's and the library's rules might differ, or with a special token's string, take
-    the library's own way as a whole.
+    those of its words.  Pieces that the cache lacks are encoded together, as one text with blanks between them.  The
+    cache holds words and pieces alike, in two generations of half its bytes: what is met again moves to the young one,
+    and the old one goes when the young one is full, so frequent words stay.  Texts with characters for which Python's
+    and the library's rules might differ, or with a special token's string, take the library's own way as a whole.
     """
 
-    def __init__(self, definition: str, cached_bytes: int = 96 << 20) -> None:
+    def __init__(self, definition: str, cached_bytes: int = 192 << 20) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.most = cached_bytes
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.size = 0
 
-    def _hold(self, into: dict[str, bytes], found: dict[str, bytes]) -> None:
-        """Add entries to a cache; an entry takes its string (four bytes a character at worst), its ids and about 200 bytes."""
-        into.update(found)
+    def _hold(self, found: dict[str, bytes]) -> None:
+        """Add entries to the cache; one takes its string (four bytes a character at worst), its ids and about 200 bytes."""
+        self.young.update(found)
         self.size += 200 * len(found) + sum(len(k) if k.isascii() else 4 * len(k) for k in found) + sum(map(len, found.values()))
 
+    def _missing(self, strings: set[str]) -> set[str]:
+        """Those of the strings that neither generation has; the young one has the others afterwards."""
+        rest = {s for s in strings if s not in self.young}
+        again = {s: self.old[s] for s in rest if s in self.old}
+        self._hold(again)
+        return {s for s in rest if s not in again}
+
     def _encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -69,10 +74,10 @@ class WordTokenizer:
             ids, owner = np.array(found.ids, dtype="<u4"), np.array(found.word_ids, dtype=np.int64)
             bounds = np.searchsorted(owner, np.arange(len(part) + 1))
             if len(owner) and (owner[-1] != len(part) - 1 or (np.diff(owner) < 0).any() or not np.diff(bounds).all()):
-                self._hold(self.pieces, {p: self._encoded(p).tobytes() for p in part})
+                self._hold({p: self._encoded(p).tobytes() for p in part})
                 continue
             raw = ids.tobytes()
-            self._hold(self.pieces, {p: raw[4 * i : 4 * j] for p, i, j in zip(part, bounds[:-1].tolist(), bounds[1:].tolist())})
+            self._hold({p: raw[4 * i : 4 * j] for p, i, j in zip(part, bounds[:-1].tolist(), bounds[1:].tolist())})
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = []
@@ -81,15 +86,14 @@ class WordTokenizer:
             odd = "<|" in text or (not text.isascii() and _ODD.search(text)) or any(c in text for c in "\x1c\x1d\x1e\x1f")
             out.append(self._encoded(text) if odd else None)
             split.append([] if odd else text.lower().split())
-        if self.size > self.most:
-            self._forget()
-        found = [list(map(self.words.get, w)) for w in split]
-        new = {w for f, all_ in zip(found, split) if None in f for w, ids in zip(all_, f) if ids is None}
+        if 2 * self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        found = [list(map(self.young.get, w)) for w in split]
+        new = self._missing({w for f, all_ in zip(found, split) if None in f for w, ids in zip(all_, f) if ids is None})
         parts = {w: _PIECES.findall(w) for w in new}
-        self._learn(list({p for some in parts.values() for p in some if p not in self.pieces}))
-        piece = self.pieces.__getitem__
-        self._hold(self.words, {w: b"".join(map(piece, p)) for w, p in parts.items()})
-        word = self.words.__getitem__
+        self._learn(list(self._missing({p for some in parts.values() for p in some})))
+        word = self.young.__getitem__
+        self._hold({w: b"".join(map(word, p)) for w, p in parts.items() if p != [w]})
         joined = (b"".join(map(word, w) if None in f else f) for f, w in zip(found, split))
         return [np.frombuffer(j, dtype="<u4") if o is None else o for o, j in zip(out, joined)]
 
