@@ -144,10 +144,10 @@ def title(html: Column, url: Column) -> Column:
     return F.coalesce(F.nullif(_unescaped(raw_title(html)), F.lit("")), url)
 
 
-def native_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """url, pos, href, target of double-quoted anchors, in page order."""
+def native_links(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """url, pos, href, target of double-quoted anchors, in page order, with columns that tell apart pages of one url."""
     hrefs = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<a\s[^>]*?href=\"([^\"]*)\""), F.lit(1))
-    rows = pages.select(url, F.posexplode(hrefs).alias("pos", "href"))
+    rows = pages.select(url, *keep, F.posexplode(hrefs).alias("pos", "href"))
     return rows.withColumn("target", urls.resolve(F.col("href"), F.col(url)))
 
 

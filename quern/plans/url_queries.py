@@ -76,9 +76,7 @@ def page_title(spark, sf_dir):
 
 @query(f"SELECT page_id, (i - 1)::INTEGER AS pos, hrefs[i] AS href FROM (SELECT page_id, {_HREFS} AS hrefs FROM pages), LATERAL (SELECT unnest(range(1, len(hrefs) + 1)) AS i)")
 def page_links(spark, sf_dir):
-    return pages_html.native_links(_pages(spark, sf_dir).withColumn("u", F.struct("page_id", "url")), "url").join(
-        _pages(spark, sf_dir).select("page_id", "url"), "url"
-    ).select("page_id", "pos", "href")
+    return pages_html.native_links(_pages(spark, sf_dir), keep=("page_id",)).select("page_id", "pos", "href")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.config import CollectionConfig, CrawlConfig, SearchConfig
 from quern.operators import chunking, cleaning, crawl, html, models, retrieval
+from quern.plans import registry
 from quern.sources import files, history, store, web
 
 
@@ -196,3 +197,10 @@ def test_config(tmp_path):
     assert CollectionConfig.load(path).query_prefix == "q:" and CollectionConfig.load(tmp_path / "no") == CollectionConfig()
     path.write_text("nonsense")
     assert CollectionConfig.load(path) == CollectionConfig()
+
+
+def test_links_of_pages_that_share_a_url(spark, tmp_path):
+    rows = [(1, "https://h/p", '<a href="/x">1</a>'), (2, "https://h/p", '<a href="/y">1</a><a href="/z">2</a>')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.queries()["page_links"](spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["pos"], r["href"]) for r in got) == [(1, 0, "/x"), (2, 0, "/y"), (2, 1, "/z")]
