@@ -161,9 +161,11 @@ def web_text(html: Column, first: Extractor | None = None, fallback: Extractor =
     return F.coalesce(F.nullif(first(html), F.lit("")), fallback(html))
 
 
-def resources(fetched: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
+def resources(fetched: DataFrame, extractors: dict[str, Extractor] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """text and meta(source, filename, type, page, url) of fetched rows (url, type, body); failures and blanks go.
 
+    keep: columns of fetched that go along, as a url may have several rows.
+
     extractors: by type, from body to text; html is built in.  A type without one has no rows, as has a body that its
     extractor turns to null.
     """
@@ -177,4 +179,4 @@ def resources(fetched: DataFrame, extractors: dict[str, Extractor] | None = None
         F.when(F.col("type") == "html", "web").otherwise(F.col("type")).alias("type"), F.lit(0).alias("page"), "url",
     )
     out = fetched.withColumn("text", text)
-    return out.where(F.col("text").isNotNull() & (F.regexp_replace("text", r"(?U)\s+", "") != "")).select("url", "text", meta.alias("meta"))
+    return out.where(F.col("text").isNotNull() & (F.regexp_replace("text", r"(?U)\s+", "") != "")).select("url", *keep, "text", meta.alias("meta"))

@@ -38,7 +38,7 @@ class Ingestion:
         return rows.withColumnRenamed("chunk", "document").where("document <> ''")
 
     def _upsert(self, chunked: DataFrame) -> None:
-        keyed = last_of_each(with_ids(chunked, "url", ["chunk_idx"]), ["seq", "chunk_idx"])
+        keyed = last_of_each(with_ids(chunked, "url", ["chunk_idx", "seq"]), ["seq", "chunk_idx"])
         rows = models.embedded(keyed, "document", self.embedder, self.config)
         self.store.upsert(rows.select("id", "document", F.col("meta").alias("metadata"), "embedding"))
 
@@ -51,7 +51,7 @@ class Ingestion:
         """
         past = self.past()
         new = h.new_urls(fetched, past) if remember else fetched
-        found = resources(new.select("url", "type", "body"), self.extractors).join(new.select("url", "seq", F.col("type").alias("kind")), "url")
+        found = resources(new, self.extractors, ("seq", "type")).withColumnRenamed("type", "kind")
         chunked = cut(self._chunks(found))
         per_url = chunked.groupBy("url").agg(F.count("*").cast("int").alias("chunks"))
         total = per_url.agg(F.count("*").alias("n"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks")).first()
@@ -69,11 +69,12 @@ class Ingestion:
         return {"new": total["n"], "skipped": skipped, "chunks": total["chunks"]}
 
     def backfill(self, fetched: DataFrame) -> int:
-        """Enrich known pages that lack a context or questions; how many got something."""
+        """Enrich known pages that lack a context or questions; how many got something.  Of pages of one url the last by seq counts."""
         if self.generate is None:
             return 0
         past = self.past()
-        pages = resources(h.unenriched(fetched, past).select("url", "type", "body"), self.extractors)
+        pages = resources(h.unenriched(fetched, past), self.extractors, ("seq",))
+        pages = pages.groupBy("url").agg(F.max_by(F.struct("text", "meta"), "seq").alias("p")).select("url", "p.*")
         found = models.generated(pages.withColumn("title", F.col("meta.filename")), self.generate)
         found = cut(found.where("context is not null or size(questions) > 0").select("url", "context", "questions"))
         n = found.count()

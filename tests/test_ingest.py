@@ -53,3 +53,13 @@ def test_stream_equals_batch(spark, tmp_path):
         job.stream(stream, f"{tmp_path}/state").awaitTermination()
     assert job.store.count() == 1 and job.past().count() == 2
     assert job.store.read().select(F.md5("document") == F.col("id")).first()[0]
+
+
+def test_pages_that_share_a_url(spark, tmp_path):
+    rows = [("https://h/1", "html", "<body>one</body>", 1), ("https://h/1", "html", "<body>two</body>", 2)]
+    job = make(spark, tmp_path)
+    assert job.batch(pages(spark, rows), 1.0) == {"new": 1, "skipped": 0, "chunks": 2}
+    assert sorted(r["document"] for r in job.store.read().collect()) == ["one", "two"]
+    assert [(r["url"], r["chunks"]) for r in job.past().collect()] == [("https://h/1", 2)]
+    job.generate = lambda prompt: json.dumps({"context": "two" if "two" in prompt else "one", "questions": []})
+    assert job.backfill(pages(spark, rows)) == 1 and [r["context"] for r in job.past().collect()] == ["two"]
