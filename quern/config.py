@@ -7,7 +7,7 @@ import tempfile
 from dataclasses import asdict, dataclass, fields, replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
@@ -72,3 +72,16 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-"))
     return df.checkpoint(eager=True)
+
+
+def arrow_batches(spark: SparkSession, rows: int = 10_000, size: int = 8 << 20) -> None:
+    """Bound the session's Arrow batches by rows and bytes, so that texts, not counts, decide what a Python worker holds.
+
+    Smaller limits of its own stay.  Plans read these settings when they run, so they stay set; they change no result.
+    """
+    name = "spark.sql.execution.arrow.max{}PerBatch"
+    in_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < in_bytes(spark.conf.get(name.format("Bytes"))) <= size:
+        spark.conf.set(name.format("Bytes"), str(size))
+    if not 0 < int(spark.conf.get(name.format("Records"))) <= rows:
+        spark.conf.set(name.format("Records"), str(rows))

@@ -204,3 +204,33 @@ def test_links_of_pages_that_share_a_url(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = registry.queries()["page_links"](spark, str(tmp_path)).collect()
     assert sorted((r["page_id"], r["pos"], r["href"]) for r in got) == [(1, 0, "/x"), (2, 0, "/y"), (2, 1, "/z")]
+
+
+def test_dense_tiles(spark):
+    import numpy as np
+
+    made = np.random.default_rng(7).integers(-2, 3, (1500, 4)) + 0.5
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(made)]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame(rows[:700], "qid long, embedding array<float>")
+    got = {}
+    for r in retrieval.dense_topk(corpus, asked, 3, -0.5, query_block=600).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    unit = made / np.linalg.norm(made, axis=1, keepdims=True)
+    exact = np.round(unit[:700] @ unit.T, 9)
+    assert got == {q: np.lexsort((np.arange(1500), -s))[:3].tolist() for q, s in enumerate(exact)}
+
+
+def test_dense_holds_tiles_only():
+    import tracemalloc
+
+    import numpy as np
+
+    q, ids = np.random.default_rng(1).random((4096, 2048)), np.arange(512)
+    best = retrieval._Best(4096, 20)
+    tracemalloc.start()
+    for first in range(0, 4096, retrieval._TILE):
+        best.offer(first, q[first : first + retrieval._TILE, :512], ids, q[first : first + retrieval._TILE, :512] >= 0)
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+    assert best.id[5].tolist() == np.lexsort((ids, -np.round(q[5, :512], 9)))[:20].tolist()
