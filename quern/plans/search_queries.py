@@ -120,7 +120,12 @@ _HYBRID = f"WITH {_STORE}, {_BM25}, {_DENSE}, {_FUSED}"
 
 
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document")).join(_corpus(spark, sf_dir), "id", "left")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of documents, a table apart: the texts are never shuffled to meet them."""
+    return _corpus(spark, sf_dir).join(_store(spark, sf_dir).select("id"), "id", "left_semi")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +139,7 @@ def _index(store: DataFrame) -> retrieval.BM25Index:
 @query(f"{_HYBRID} SELECT qid, id, round(score, 9) AS score, rank::INTEGER AS rank FROM ordered")
 def rrf_fuse(spark, sf_dir):
     store, asked = _store(spark, sf_dir), _asked(spark, sf_dir)
-    fused = retrieval.fuse(retrieval.dense_topk(store.select("id", "embedding"), asked), _index(store).search(asked))
+    fused = retrieval.fuse(retrieval.dense_topk(_placed(spark, sf_dir), asked), _index(store).search(asked))
     return fused.select("qid", "id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -144,14 +149,14 @@ _SPARSE_ONLY = "SELECT qid, id FROM sparse s WHERE NOT EXISTS (SELECT 1 FROM den
 @query(f"{_HYBRID} {_SPARSE_ONLY}")
 def sparse_only_hits(spark, sf_dir):
     store, asked = _store(spark, sf_dir), _asked(spark, sf_dir)
-    dense = retrieval.dense_topk(store.select("id", "embedding"), asked)
+    dense = retrieval.dense_topk(_placed(spark, sf_dir), asked)
     return _index(store).search(asked).join(dense, ["qid", "id"], "left_anti").select("qid", "id")
 
 
 @query(f"{_HYBRID} SELECT qid, CASE WHEN qid IN (SELECT qid FROM sparse) THEN 'hybrid_dense_bm25' ELSE 'dense_only' END AS retrieval_method, rank::INTEGER AS final_rank, id, similarity, round(1 - similarity, 4) AS distance FROM ordered WHERE rank < 5")
 def hybrid_search(spark, sf_dir):
     store = _store(spark, sf_dir)
-    found = retrieval.search(store, _index(store), _asked(spark, sf_dir), 5, SearchConfig(rerank=False))
+    found = retrieval.search(store, _index(store), _asked(spark, sf_dir), 5, SearchConfig(rerank=False), vectors=_placed(spark, sf_dir))
     return found.select("qid", "retrieval_method", "final_rank", "id", "similarity", "distance")
 
 
@@ -163,19 +168,19 @@ def hybrid_search(spark, sf_dir):
 )
 def hybrid_reranked(spark, sf_dir):
     store = _store(spark, sf_dir)
-    return retrieval.search(store, _index(store), _asked(spark, sf_dir), 5).drop("document")
+    return retrieval.search(store, _index(store), _asked(spark, sf_dir), 5, vectors=_placed(spark, sf_dir)).drop("document")
 
 
 @query(f"WITH {_STORE}, {_DENSE} SELECT qid, 'dense_only' AS retrieval_method, (row_number() OVER (PARTITION BY qid ORDER BY round(exact, 4) DESC, rank) - 1)::INTEGER AS final_rank, id, round(exact, 4) AS similarity FROM near WHERE exact >= 0 AND rank < 5")
 def dense_only_search(spark, sf_dir):
-    found = retrieval.search(_store(spark, sf_dir), None, _asked(spark, sf_dir), 5, SearchConfig(rerank=False, hybrid=False))
+    found = retrieval.search(_store(spark, sf_dir), None, _asked(spark, sf_dir), 5, SearchConfig(rerank=False, hybrid=False), vectors=_placed(spark, sf_dir))
     return found.select("qid", "retrieval_method", "final_rank", "id", "similarity")
 
 
 @query(f"{_HYBRID} SELECT qid, least(count(*), 5)::BIGINT AS total_results FROM ordered GROUP BY 1")
 def search_response(spark, sf_dir):
     store, asked = _store(spark, sf_dir), _asked(spark, sf_dir)
-    answers = retrieval.responses(retrieval.search(store, _index(store), asked, 5), asked)
+    answers = retrieval.responses(retrieval.search(store, _index(store), asked, 5, vectors=_placed(spark, sf_dir)), asked)
     return answers.select("qid", F.get_json_object("response", "$.total_results").cast("long").alias("total_results"))
 
 

@@ -234,3 +234,38 @@ def test_dense_holds_tiles_only():
     assert tracemalloc.get_traced_memory()[1] < 40 << 20
     tracemalloc.stop()
     assert best.id[5].tolist() == np.lexsort((ids, -np.round(q[5, :512], 9)))[:20].tolist()
+
+
+def test_bm25_scores_documents_where_they_are(spark, tmp_path):
+    import math
+
+    texts = ["red apple pie", "green Apple", "blue sky over hills", "apple apple tart", "sky", None, "", "red apple pie", "apple", "apple green"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, document string").repartition(3)
+    asked = spark.createDataFrame([("a", "apple tart apple"), ("b", "zzz"), ("c", "red sky"), ("d", None)], "qid string, query string")
+    split = [(t or "").lower().split() for t in texts]
+    n, avg, terms = len(split), sum(map(len, split)) / len(split), {t for d in split for t in d}
+    raw = {t: math.log(n - (f := sum(t in d for d in split)) + 0.5) - math.log(f + 0.5) for t in terms}
+    assert raw["apple"] < 0
+    low = 0.25 * sum(raw.values()) / len(raw)
+    want = {}
+    for q, words in (("a", ["apple", "tart", "apple"]), ("c", ["red", "sky"])):
+        score = {i: sum((raw[w] if raw[w] >= 0 else low) * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for w in words) for i, d in enumerate(split)}
+        best = sorted((i for i in score if score[i] > 0), key=lambda i: (-round(score[i], 9), i))[:3]
+        want |= {(q, r): (i, round(score[i], 6)) for r, i in enumerate(best)}
+    built = retrieval.BM25Index.build(rows, "id", "document")
+    built.save(str(tmp_path / "i"))
+    for index in (built, retrieval.BM25Index.load(spark, str(tmp_path / "i"))):
+        assert {(r["qid"], r["rank"]): (r["id"], round(r["score"], 6)) for r in index.search(asked, 3).collect()} == want
+    plan = built.search(asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and plan.count("hashpartitioning") == 1
+    assert built.search(asked.where("qid = 'b'")).count() == 0 and built.search(asked.limit(0)).count() == 0
+
+
+def test_queries_in_blocks(monkeypatch):
+    monkeypatch.setattr(retrieval, "_CELLS", 4)
+    weights = [{0: 1.0, 1: 2.0}, {1: 3.0}, {2: 1.0}, {}, {0: 1.0, 1: 1.0, 2: 1.0, 3: 1.0, 4: 5.0}]
+    got = {}
+    for first, many, own, (t, q, x) in retrieval._blocks(weights):
+        for a, b, c in zip(t, q, x):
+            got.setdefault(first + int(b), {})[int(own[a])] = float(c)
+    assert [got.get(k, {}) for k in range(5)] == weights
