@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.config import arrow_batches
 from quern.functions.text import sentences, strip
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -130,6 +131,11 @@ def splitter(strategy: str = "fixed_size", size: int = 1000, overlap: int = 200)
 
 
 def chunks(df: DataFrame, text: str, split: Splitter) -> DataFrame:
-    """df without its text, a row per chunk: chunk_idx and chunk; the other columns are repeated."""
+    """df without its text, a row per chunk: chunk_idx and chunk; the other columns are repeated.
+
+    Workers get at most 256 texts or 1 MB of them at a time: as Python strings, pieces and overlapping chunks take a
+    multiple of that.
+    """
+    arrow_batches(df.sparkSession, 256, 1 << 20)
     others = [F.col(f"`{c}`") for c in df.columns if c != text]
     return df.select(*others, F.posexplode(split(F.col(text))).alias("chunk_idx", "chunk"))

@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -269,3 +270,22 @@ def test_queries_in_blocks(monkeypatch):
         for a, b, c in zip(t, q, x):
             got.setdefault(first + int(b), {})[int(own[a])] = float(c)
     assert [got.get(k, {}) for k in range(5)] == weights
+
+
+def test_chunkers_get_small_batches(spark):
+    name = "spark.sql.execution.arrow.max{}PerBatch"
+    before = {k: spark.conf.get(name.format(k)) for k in ("Bytes", "Records")}
+
+    @F.pandas_udf("array<string>")
+    def sizes(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [str(len(texts))])
+
+    try:
+        for k in before:
+            spark.conf.unset(name.format(k))
+        rows = spark.range(2000).select(F.repeat(F.lit("word "), 2000).alias("t")).coalesce(1)
+        got = [int(r["chunk"]) for r in chunking.chunks(rows, "t", sizes).collect()]
+        assert len(got) == 2000 and max(got) <= 256
+    finally:
+        for k, v in before.items():
+            spark.conf.set(name.format(k), v)
