@@ -9,6 +9,8 @@ down, and only branches that differ are opened.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,52 +24,63 @@ PARAGRAPH = r"[^\n]*\n|[^\n]+"
 CLAUSE = r"[^.,;:!?]{1,240}[.,;:!?]*|[.,;:!?]+"
 #: A paragraph ends a section if its hash begins with one of these: one in eight.
 SECTION_ENDS = ("0", "8")
-_DIGEST = 64
 
 
 def with_tree(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with a text's tree: {name}_root, {name}_sections (array<string>), {name}_leaves (number of distinct ones).
 
     A null text counts as empty.  A section is written as its digest, `=` and its paragraphs with `,` between; a
-    paragraph as its digest, `:` and its leaves.  An entry is thus a node with all below it, and two entries are equal
-    just if their digests are.
+    paragraph as its digest, `:` and its leaves with ` ` between.  An entry is thus a node with all below it, and two
+    entries are equal just if their digests are.  Entries are taken apart at these marks only, in one pass each:
+    length() and substring() count code points from the start at every call.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    paragraphs = F.transform(F.regexp_extract_all(body, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.array_join(
-        F.transform(F.regexp_extract_all(p, F.lit(CLAUSE), F.lit(0)), lambda c: F.sha2(c, 256)), ""
-    ))
     # each step is a column of its own, which is computed once
-    out = df.withColumn(f"{name}_entries", F.transform(paragraphs, lambda leaves: F.concat(F.sha2(leaves, 256), F.lit(":"), leaves)))
+    out = df.withColumn(f"{name}_clauses", F.transform(
+        F.regexp_extract_all(body, F.lit(PARAGRAPH), F.lit(0)),
+        lambda p: F.transform(F.regexp_extract_all(p, F.lit(CLAUSE), F.lit(0)), lambda c: F.sha2(c, 256)),
+    ))
+    clauses = F.col(f"{name}_clauses")
+    entry = lambda leaves: F.concat(F.sha2(F.array_join(leaves, ""), 256), F.lit(":"), F.array_join(leaves, " "))
+    out = out.withColumns({f"{name}_entries": F.transform(clauses, entry), f"{name}_leaves": F.size(F.array_distinct(F.flatten(clauses)))})
     entries = F.col(f"{name}_entries")
-    # a bar after a paragraph that ends a section, a comma after any other
-    marked = F.transform(entries, lambda e: F.concat(e, F.when(F.left(e, F.lit(1)).isin(*SECTION_ENDS), "|").otherwise(",")))
-    runs = F.filter(F.split(F.array_join(marked, ""), r"\|", -1), lambda s: s != "")
-    digest = lambda run: F.sha2(F.regexp_replace(run, ":[0-9a-f]*+", ""), 256)  # noqa: E731  of the paragraphs' digests
-    out = out.withColumn(f"{name}_sections", F.transform(runs, lambda run: F.concat(digest(run), F.lit("="), run)))
-    sections = F.col(f"{name}_sections")
-    return out.withColumns({
-        f"{name}_root": F.sha2(F.array_join(F.transform(sections, lambda s: F.left(s, F.lit(_DIGEST))), ""), 256),
-        f"{name}_leaves": F.size(_leaves(entries)),
-    }).drop(f"{name}_entries")
+
+    def runs(part: Callable[[Column], Column]) -> Column:
+        """The sections' paragraphs: a bar after one that ends a section, a comma after any other."""
+        ends = lambda e: F.left(_head(e, ":"), F.lit(1)).isin(*SECTION_ENDS)
+        marked = F.transform(entries, lambda e: F.concat(part(e), F.when(ends(e), "|").otherwise(",")))
+        return F.filter(F.split(F.array_join(marked, ""), r"\|", -1), lambda s: s != "")
+
+    digested = runs(lambda e: _head(e, ":"))
+    out = out.withColumn(f"{name}_sections", F.zip_with(digested, runs(lambda e: e), lambda d, run: F.concat(F.sha2(d, 256), F.lit("="), run)))
+    root = F.sha2(F.array_join(F.transform(f"{name}_sections", lambda s: _head(s, "=")), ""), 256)
+    return out.withColumn(f"{name}_root", root).drop(f"{name}_clauses", f"{name}_entries")
+
+
+def _head(entry: Column, mark: str) -> Column:
+    """An entry's digest, which stands before the first mark."""
+    return F.substring_index(entry, mark, 1)
+
+
+def _below(entry: Column, mark: str, between: str) -> Column:
+    """What stands after an entry's only mark, as an array."""
+    return F.split(F.get(F.split(entry, mark, -1), F.lit(1)), between, -1)
 
 
 def fingerprint(name: str) -> Column:
     """The root of a tree, then 16 digits of each section's digest: `root/sections`."""
-    return F.concat(F.col(f"{name}_root"), F.lit("/"), F.array_join(F.transform(f"{name}_sections", lambda s: F.left(s, F.lit(16))), ""))
+    digits = F.transform(f"{name}_sections", lambda s: F.left(_head(s, "="), F.lit(16)))
+    return F.concat(F.col(f"{name}_root"), F.lit("/"), F.array_join(digits, ""))
 
 
 def _paragraphs(sections: Column) -> Column:
     """The paragraph entries of section entries."""
-    below = F.transform(sections, lambda s: F.split(F.substring(s, F.lit(_DIGEST + 2), F.length(s)), ",", -1))
-    return F.filter(F.flatten(below), lambda p: p != "")
+    return F.filter(F.flatten(F.transform(sections, lambda s: _below(s, "=", ","))), lambda p: p != "")
 
 
 def _leaves(paragraphs: Column) -> Column:
     """The distinct leaves of paragraph entries."""
-    cut = F.transform(paragraphs, lambda p: F.transform(
-        F.sequence(F.lit(_DIGEST + 2), F.length(p) - _DIGEST + 1, F.lit(_DIGEST)), lambda k: F.substring(p, k, F.lit(_DIGEST))
-    ))
-    return F.array_distinct(F.flatten(cut))
+    return F.array_distinct(F.flatten(F.transform(paragraphs, lambda p: _below(p, ":", " "))))
 
 
 def differing(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
